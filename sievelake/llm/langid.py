@@ -28,6 +28,10 @@ from pyspark.sql import functions as F
 from sievelake.llm.common import ready
 
 ORDER, DISCOUNT, EDGE = 5, 0.75, 0x1F
+#: A document is rejected when its best cross-entropy a letter, in log10 units,
+#: lies this far above the language's mean: its letters are on average four
+#: times less likely than the language's own.
+REJECT_BY = 0.6
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -112,9 +116,9 @@ class CharModels:
 
 def fit_models(texts: dict[str, list[str]]) -> CharModels:
     """Kneser-Ney models of the given texts, per language, then calibration on
-    the same texts: the rejection limit is the mean cross-entropy of a
-    language's documents plus six of their deviations and a tenth, wide enough
-    to keep clean documents."""
+    the same texts: a language's rejection limit lies REJECT_BY above the mean
+    cross-entropy of its documents and above all of them, so that documents
+    with foreign passages, numbers or keys stay."""
     langs = sorted(texts)
     if not langs:
         z = np.zeros(1, np.uint64)
@@ -144,7 +148,7 @@ def fit_models(texts: dict[str, list[str]]) -> CharModels:
     for k, lang in enumerate(langs):
         costs = np.array([c / max(n, 1) for c, n in (doc_cost(models, t) for t in texts[lang]) if n])
         own = costs[:, k] if len(costs) else np.zeros(1)
-        limits.append(own.mean() + 6 * own.std() + 0.1)
+        limits.append(max(own.mean() + REJECT_BY, own.max() + REJECT_BY / 4))
         if len(langs) > 1 and len(costs):
             gaps.append(np.median(np.sort(np.delete(costs, k, 1), 1)[:, 0] - own))
     models.limits = np.array(limits)

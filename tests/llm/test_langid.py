@@ -1,0 +1,69 @@
+import zlib
+
+from sievelake.llm import langid, queries
+
+SCHEMA = "doc_id bigint, text string, lang string"
+
+
+def test_held_out_accuracy(spark, sf):
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op6_language_id(spark, sf).collect()
+    assert len(out) == len(truth)
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert sum(r.lang_pred == truth[r.doc_id].lang for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in out)
+    assert sum(r.rejected for r in out) <= 0.01 * len(out)
+
+
+def test_edge_cases_and_rejection(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = langid.fit_models(langid.training_sample(docs, "doc_id", "text", "lang", 30))
+    clean = docs.where("lang = 'fr'").limit(1).collect()[0].text
+    rows = [(1, None, "x"), (2, "", "x"), (3, "123 !! 4.5", "x"), (4, clean, "x"), (4, clean, "y"), (None, clean * 40, None), (7, "xqzjw kvvxq zzwqk jxqvw " * 30, "x"), (8, "日本語", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score string")
+    out = langid.identify(df, models, keep=True).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "text", "score", "lang_pred", "rejected"}
+    for r in out:
+        if r.doc_id in (1, 2, 3):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+        elif r.text.startswith(clean):
+            assert r.lang_pred == "fr" and not r.rejected
+        else:
+            assert r.rejected and r.lang_pred in models.langs
+    assert langid.identify(df.limit(0), models).collect() == []
+
+
+def test_no_learned_language(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, None, None)], SCHEMA)
+    models = langid.fit_models(langid.training_sample(df, "doc_id", "text", "lang", 10))
+    assert {(r.lang_pred, r.score, r.rejected) for r in langid.identify(df, models).collect()} == {("und", 0.0, True)}
+
+
+def test_flattened_model_is_a_distribution():
+    models = langid.fit_models({"a": ["abab abba baab"] * 3, "b": ["cdcd dccd abcd"] * 3})
+    for context in ("", "a", "ab", "aba", "zz"):
+        for k in range(2):
+            total = 0.0
+            for c in "abcd" + chr(langid.EDGE):
+                total += 10 ** -_cost(models, context, c)[k]
+            assert total < 1.2
+
+
+def _cost(models, context, c):
+    import numpy as np
+
+    pad = chr(langid.EDGE) * (langid.ORDER - 1)
+    codes = np.frombuffer((pad + context + c).encode("utf-32-le"), np.uint32)[-langid.ORDER :]
+    cost = np.zeros(len(models.langs))
+    for n in range(langid.ORDER, 0, -1):
+        h = langid._hash_grams(codes[None, -n:])
+        i = min(np.searchsorted(models.grams, h[0]), len(models.grams) - 1)
+        if models.grams[i] == h[0]:
+            return cost - models.logp[i]
+        if n > 1:
+            h = langid._hash_grams(codes[None, -n:-1])
+            i = min(np.searchsorted(models.contexts, h[0]), len(models.contexts) - 1)
+            if models.contexts[i] == h[0]:
+                cost = cost - models.backoff[i]
+    return cost - models.floor
