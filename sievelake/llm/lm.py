@@ -1,9 +1,10 @@
 """Language-model scores by a weighted backoff automaton over word n-grams.
 
-The model interpolates orders by Dirichlet smoothing: with c the count of an
-n-gram in the training documents and h its context,
+The model interpolates orders by Dirichlet smoothing whose strength grows with
+the context: with c the count of an n-gram in the training documents and h its
+context,
 
-    P_n(w | h) = (c(hw) + K_n * P_{n-1}(w | h')) / (c(h) + K_n)
+    P_n(w | h) = (c(hw) + K_n * P_{n-1}(w | h')) / (c(h) + K_n),  K_n = a_n + b_n * c(h)
 
 down to the add-half unigrams. As an automaton: a state is a context seen in
 training; an arc of a state is a seen n-gram; a failure arc leads to the state
@@ -11,12 +12,12 @@ of the shorter context and weighs K_n / (c(h) + K_n). A text is read once from
 left to right; the state at each word is the longest context ending there.
 
 The model is never gathered in one place. Documents are encoded in blocks of
-bounded size. A block sends, for each of its distinct n-grams, the hash and its
-training count to the n-gram's bucket, packed as one array per block and bucket;
-buckets grow in number with the input. A bucket sums the counts over all blocks
-and answers every block with the totals of its n-grams in the order asked. With
-the answers, each block has the part of the automaton that its texts can reach,
-and runs it.
+bounded size, which are written once. A block sends, for each of its distinct
+n-grams, the hash and its training count to the n-gram's bucket, packed as one
+array per block and bucket; buckets grow in number with the input. A bucket sums
+the counts over all blocks and answers every block with the totals of its
+n-grams in the order asked. With the answers, each block has the part of the
+automaton that its texts can reach, and runs it.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import ready, written
 
-ORDER = 3
-#: K_2, K_3, ...: how much evidence the shorter context is worth.
-STRENGTH = (600.0, 8.0)
+ORDER = 2
+#: (a_n, b_n) for n = 2, 3, ...: how much evidence the shorter context is worth.
+STRENGTH = ((4.0, 2.0), (1.0, 1.0))
 #: Bytes of text in a block; bounds the memory of every Python step.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 END = b"\n"  # no word holds a line break
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -102,41 +103,75 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarr
     return out
 
 
-def _blocks(order: int, buckets: int):
-    """Encode documents into blocks: a row with the token hashes, and a row per
-    bucket with the block's distinct n-grams and their training counts."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents into blocks: ids, and the lengths and token hashes of texts."""
 
     def block(number: int, ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(t) for t in texts], np.int64)
-        tokens = np.concatenate(texts)
-        train = np.repeat(np.array([not held_out(i) for i in ids]), sizes)
-        u, local = np.unique(tokens, return_inverse=True)
-        rows = [(number, -1, pa_bytes(ids_array(ids)), sizes.astype("<i4").tobytes() + u.astype("<u8").tobytes() + local.astype("<u4").tobytes(), len(u))]
-        keys, counts = distinct(tokens, sizes, order, train)
-        bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-        place = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[place], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            part = place[edges[b] : edges[b + 1]]
-            rows.append((number, int(b), keys[part].astype("<u8").tobytes(), counts[part].astype("<u4").tobytes(), 0))
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "bucket", "keys", "body", "types"])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+        sizes = np.array([len(t) for t in texts], "<i4")
+        u, local = np.unique(np.concatenate(texts), return_inverse=True)
+        body = zlib.compress(sizes.tobytes() + local.astype("<u4").tobytes(), 1) + u.astype("<u8").tobytes()
+        cols = ([number], [pa_bytes(ids_array(ids))], [body], [len(u)])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "ids", "body", "types"])
+
+    number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
+    for batch in batches:
+        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids.append(name)
+            texts.append(words_of(raw))
+            size += len(raw or b"")
+            if size >= BLOCK_BYTES:
+                yield block(number, ids, texts)
+                number, ids, texts, size = number + 1, [], [], 0
+    if ids:
+        yield block(number, ids, texts)
+
+
+def decoded(ids: bytes, body: bytes, types: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, sizes, tokens, train) of a block."""
+    pairs = np.frombuffer(ids, "<i8").reshape(-1, 2)
+    names = [v if known else None for known, v in pairs.tolist()]
+    u = np.frombuffer(body, "<u8", types, len(body) - 8 * types)
+    raw = zlib.decompress(body[: len(body) - 8 * types])
+    sizes = np.frombuffer(raw, "<i4", len(names)).astype(np.int64)
+    tokens = u[np.frombuffer(raw, "<u4", -1, 4 * len(names))]
+    train = np.repeat(np.array([not held_out(i) for i in names]), sizes)
+    return names, sizes, tokens, train
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so sorted keys are in their order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _ask(order: int, buckets: int):
+    """A row per block and bucket with the block's distinct n-grams and counts."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for name, raw in zip(names, batch.column(1).to_pylist()):
-                ids.append(name)
-                texts.append(words_of(raw))
-                size += len(raw or b"")
-                if size >= BLOCK_BYTES:
-                    yield from _sliced(block(number, ids, texts))
-                    number, ids, texts, size = number + 1, [], [], 0
-        if ids:
-            yield from _sliced(block(number, ids, texts))
+            for number, ids, body, types in zip(*(c.to_pylist() for c in batch.columns)):
+                _, sizes, tokens, train = decoded(ids, body, types)
+                keys, counts = distinct(tokens, sizes, order, train)
+                edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
+                rows = [(number, int(b), packed_keys(keys[edges[b] : edges[b + 1]]), packed_counts(counts[edges[b] : edges[b + 1]])) for b in np.flatnonzero(np.diff(edges))]
+                out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "bucket", "keys", "counts"])
+                yield from _sliced(out)
 
-    return encode
+    return ask
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes as the first one and the steps, of 6 bytes if they fit."""
+    steps = np.diff(keys)
+    width = 6 if not len(steps) or int(steps.max()) < 1 << 48 else 8
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view("u1").reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.zeros(((len(data) - 9) // width, 8), "u1")
+    steps[:, :width] = np.frombuffer(data, "u1", -1, 9).reshape(-1, width)
+    first = np.frombuffer(data, "<u8", 1, 1)
+    return np.concatenate([first, first + np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)])
 
 
 def _sliced(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
@@ -166,8 +201,8 @@ def distinct(tokens: np.ndarray, sizes: np.ndarray, order: int, train: np.ndarra
 def _answers(table: pa.Table) -> pa.Table:
     """One bucket: total counts of its n-grams, sent back to each block in the
     order of its keys."""
-    keys = [np.frombuffer(k, "<u8") for k in table["keys"].to_pylist()]
-    counts = [np.frombuffer(c, "<u4") for c in table["body"].to_pylist()]
+    keys = [unpacked_keys(k) for k in table["keys"].to_pylist()]
+    counts = [unpacked_counts(c) for c in table["counts"].to_pylist()]
     u, inv = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(inv, np.concatenate(counts), len(u)).astype("<u8")
     words = sums[(u & np.uint64(1)) == 1]
@@ -194,7 +229,7 @@ class Automaton:
     """The part of the model that one block reaches: sorted n-gram hashes (arcs
     and, as contexts, states) with their counts, and the unigram totals."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_tokens: int, n_types: int, strength: tuple[float, ...]):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_tokens: int, n_types: int, strength: tuple):
         self.keys, self.counts = keys, counts.astype(np.float64)
         self.n, self.v, self.strength = float(n_tokens), float(n_types), strength
 
@@ -213,7 +248,9 @@ class Automaton:
         p = self.unigram(c)
         base = np.log10(p)
         for n in range(2, order + 1):
-            k, context = self.strength[n - 2], self.count(states[n - 2])
+            a, b = self.strength[n - 2]
+            context = self.count(states[n - 2])
+            k = a + b * context
             p = np.where(context > 0, (self.count(arcs[n - 1]) + k * p) / (context + k), p)
         return c, base, np.log10(p)
 
@@ -221,29 +258,20 @@ class Automaton:
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _score(order: int, buckets: int, n_tokens: int, n_types: int, strength: tuple[float, ...]):
+def _score(order: int, n_tokens: int, n_types: int, strength: tuple):
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        pairs = np.frombuffer(left["keys"][0].as_py(), "<i8").reshape(-1, 2)
-        body, types = left["body"][0].as_py(), left["types"][0].as_py()
-        docs = len(pairs)
-        sizes = np.frombuffer(body, "<i4", docs).astype(np.int64)
-        u = np.frombuffer(body, "<u8", types, 4 * docs)
-        tokens = u[np.frombuffer(body, "<u4", -1, 4 * docs + 8 * types)]
-        train = np.repeat([not held_out(v if known else None) for known, v in pairs.tolist()], sizes)
+        names, sizes, tokens, train = decoded(*(left[c][0].as_py() for c in ("ids", "body", "types")))
         keys, _ = distinct(tokens, sizes, order, train)
-        place = np.argsort((keys >> np.uint64(40)) % np.uint64(buckets), kind="stable")
         answers = sorted(zip(right["bucket"].to_pylist(), right["totals"].to_pylist()))
-        total = np.concatenate([unpacked_counts(a) for _, a in answers])
-        counts = np.zeros(len(keys), np.int64)
-        counts[place] = total
+        counts = np.concatenate([unpacked_counts(a) for _, a in answers])
         c, base, full = Automaton(keys, counts, n_tokens, n_types, strength).read(tokens, sizes, order)
         at = np.cumsum(sizes) - sizes
         out = {
-            "doc_id": pa.array([v if known else None for known, v in pairs.tolist()], pa.int64()),
-            "held_out": pa.array([held_out(v if known else None) for known, v in pairs.tolist()]),
+            "doc_id": pa.array(names, pa.int64()),
+            "held_out": pa.array([held_out(i) for i in names]),
             "n_tokens": pa.array(sizes),
             "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), at)),
-            "train_tokens": pa.array([n_tokens] * docs, pa.int64()),
+            "train_tokens": pa.array([n_tokens] * len(names), pa.int64()),
             "base_score": pa.array(np.add.reduceat(base, at)),
             "score": pa.array(np.add.reduceat(full, at)),
         }
@@ -261,7 +289,7 @@ def _unigram_totals(answers: DataFrame) -> tuple[int, int]:
     return n, v
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: tuple[float, ...] = STRENGTH, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, strength: tuple = STRENGTH, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score, both log10 probabilities of the whole text and its end.
 
@@ -273,10 +301,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
     buckets = buckets or 4 * max(2, rows.rdd.getNumPartitions())
-    blocks = written(rows.mapInArrow(_blocks(order, buckets), "block bigint, bucket bigint, keys binary, body binary, types bigint"), "blocks")
-    asked = blocks.where("bucket >= 0").select("block", "bucket", "keys", "body")
-    tally = asked.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket bigint, totals binary")
-    answers = written(tally, "answers")
+    blocks = written(rows.mapInArrow(_encode, "block bigint, ids binary, body binary, types bigint"), "blocks")
+    asked = blocks.mapInArrow(_ask(order, buckets), "block bigint, bucket bigint, keys binary, counts binary")
+    answers = written(asked.groupBy("bucket").applyInArrow(_answers, "block bigint, bucket bigint, totals binary"), "answers")
     n_tokens, n_types = _unigram_totals(answers)
-    texts = blocks.where("bucket < 0").select("block", "keys", "body", "types")
-    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(order, buckets, n_tokens, n_types, strength), SCHEMA)
+    return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_score(order, n_tokens, n_types, strength), SCHEMA)

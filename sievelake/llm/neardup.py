@@ -11,9 +11,11 @@ sets share a register with a probability that grows with their similarity.
 3. Registers of a pair, given the known set sizes, have a likelihood in the
    similarity; pairs that it rules out at five deviations go.
 4. The rest is confirmed on full sets. Components follow from the links.
-5. Classes that share a bucket and are still in different components are
-   paired directly and go through 3 and 4: no link between found candidates
-   is lost by pairing with the smallest first.
+5. Buckets that still hold several components are looked at again: between two
+   components, the pairs that the likelihood allows go to 4 in the order of
+   their estimates, a few at first and eight times as many in each round, until
+   none is left that was not confirmed or refuted. Two components need one link
+   only, so most pairs of a large group are never looked up.
 
 A pair of similarity 0.8 shares no band with a probability of 8e-6.
 """
@@ -143,8 +145,17 @@ def _bands(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "n", "regs").mapInArrow(explode, "key bigint, rep bigint, n bigint")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+def _plausible(na: np.ndarray, nb: np.ndarray, same: np.ndarray, threshold: float) -> np.ndarray:
+    """A quick test by equal registers alone, at six deviations: pairs it drops
+    the joint likelihood would drop, too."""
+    u, v = na / (na + nb), nb / (na + nb)
+    p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    equal = np.clip(1 - p(u - v * threshold) - p(v - u * threshold), 1e-6, 1)
+    return same >= REGISTERS * equal - 6 * np.sqrt(REGISTERS * equal * (1 - equal)) - 1
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and registers allow to reach the threshold."""
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +167,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
             _, short = similarity_likelihood(ra, rb, na, nb, percent / 100)
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(short <= RULED_OUT))
 
-    left = written(
+    return written(
         pairs.join(side("a"), "a").join(side("b"), "b")
         .where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         .select("a", "b", "ra", "rb", "na", "nb")
@@ -164,16 +175,26 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
         "likely",
     )
 
+
+#: Ids of documents to look up that are sent to all tasks at most: 8 bytes each.
+#: Beyond, texts and ids are joined by a shuffle.
+LOOKUP_IDS = 2_000_000
+
+
+def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], ["v", "set"])
 
-    wanted = left.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    wanted = written(left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))).distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("bigint").alias("v"), F.col(text_col).cast("binary").alias("raw"))
+    looked_up = F.broadcast(wanted) if wanted.count() <= LOOKUP_IDS else wanted
     # An id may be repeated with another text: only the class's own set counts.
     own = classes.select(F.col("rep").alias("v"), "sig")
-    full = written(texts.join(wanted, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set"))).join(own, ["v", "sig"], "left_semi").groupBy("v").agg(F.first("set").alias("set")), "sets")
+    full = written(texts.join(looked_up, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set"))).join(own, ["v", "sig"], "left_semi").groupBy("v").agg(F.first("set").alias("set")), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +208,87 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int
 
     part = lambda x, s: full.select(F.col("v").alias(x), F.col("set").alias(s))
     out = written(left.join(part("a", "x"), "a").join(part("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
-    drop_written(left)
     drop_written(full)
+    drop_written(wanted)
     return out
 
 
+#: Members of a bucket that a task compares with as many others; larger buckets
+#: are split into blocks, and a task gets two.
+BLOCK = 2000
+
+
+def _between(percent: int, width_of_round: int):
+    """For one bucket (or two of its blocks): between each two components the
+    best pairs that the likelihood allows; ``cut`` says that there are more."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        i, j = table["bi"][0].as_py(), table["bj"][0].as_py()
+        rep, label, n, block = (table[c].to_numpy() for c in ("rep", "label", "n", "block"))
+        order = np.lexsort((rep, label))
+        rep, label, n, block = rep[order], label[order], n[order].astype(np.float64), block[order]
+        regs = np.frombuffer(b"".join(table["regs"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        names, count = np.unique(label, return_counts=True)
+        rows = np.flatnonzero(label != names[count.argmax()])  # the largest component against itself is known
+        main = np.full(len(rep), True)
+        main[rows] = False
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(rows), 32):
+            part = rows[lo : lo + 32]
+            # Each pair once: against the largest component, and later rows.
+            ok = (label[part][:, None] != label[None, :]) & (main[None, :] | (np.arange(len(rep))[None, :] > part[:, None]))
+            ok &= 100 * np.minimum(n[part][:, None], n[None, :]) >= percent * np.maximum(n[part][:, None], n[None, :])
+            if i != j:
+                ok &= block[part][:, None] != block[None, :]
+            a, b = np.nonzero(ok)
+            if not len(a):
+                continue
+            a = part[a]
+            for k in range(0, len(a), 20_000):
+                x, y = a[k : k + 20_000], b[k : k + 20_000]
+                keep = _plausible(n[x], n[y], (regs[x] == regs[y]).sum(1), percent / 100)
+                if keep.any():
+                    found.append((x[keep], y[keep]))
+        out = {"a": [], "b": [], "cut": []}
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            best, short = similarity_likelihood(regs[a], regs[b], n[a], n[b], percent / 100)
+            good = short <= RULED_OUT
+            a, b, best = a[good], b[good], best[good]
+            la, lb = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            order = np.lexsort((rep[b], rep[a], -best, lb, la))
+            a, b, la, lb = a[order], b[order], la[order], lb[order]
+            new = np.r_[True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1])] if len(a) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            size = np.diff(np.r_[start, len(a)])
+            rank = np.arange(len(a)) - np.repeat(start, size)
+            take = rank < width_of_round
+            out["a"], out["b"] = np.minimum(rep[a], rep[b])[take], np.maximum(rep[a], rep[b])[take]
+            out["cut"] = np.repeat(size > width_of_round, size)[take]
+        return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "cut": pa.array(out["cut"], pa.bool_())})
+
+    return choose
+
+
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, rep, n, label) of buckets with more than one component."""
+    placed = written(met.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
+    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return written(placed.join(several, "key"), "mixed")
+
+
+def _candidates(mixed: DataFrame, classes: DataFrame, percent: int, width_of_round: int) -> DataFrame:
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = (
+        mixed.join(classes.select("rep", "regs"), "rep")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n", "label", "regs")
+    )
+    chosen = dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent, width_of_round), "a bigint, b bigint, cut boolean")
+    return written(chosen.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -213,24 +310,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = Window.partitionBy("key")
     # Only buckets of two or more are kept: few rows.
     met = written(_bands(classes).withColumn("least", F.min("rep").over(bucket)).withColumn("most", F.max("rep").over(bucket)).where("least != most").drop("most"), "met")
-    stars = met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(stars, classes, docs, width, percent, id_col, text_col)
+    tested = written(met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    links = _confirmed(_likely(tested, classes, percent), classes, docs, width, percent, id_col, text_col)
     labels = components(links)
-
-    lab = labels.select(F.col("v").alias("rep"), "label")
-    placed = written(met.join(lab, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    rest = written(placed.join(mixed, "key", "left_semi").select("key", "rep", "n", "label", "least"), "mixed")
-    one, two = (rest.select("key", *[F.col(c).alias(c + s) for c in ("rep", "n", "label", "least")]) for s in "ab")
-    cross = (
-        one.join(two, "key")
-        .where(f"repa < repb and labela != labelb and repa != leasta and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select(F.col("repa").alias("a"), F.col("repb").alias("b"))
-        .distinct()
-    )
-    more = _confirmed(cross, classes, docs, width, percent, id_col, text_col)
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    mixed, width_of_round = _mixed(met, labels), 2
+    while mixed.limit(1).count():
+        chosen = _candidates(mixed, classes, percent, width_of_round)
+        fresh = written(chosen.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+        more = chosen.where("cut").limit(1).count()
+        if fresh.limit(1).count():
+            new = _confirmed(fresh, classes, docs, width, percent, id_col, text_col)
+            tested = tested.unionByName(fresh)
+            if new.limit(1).count():
+                links = links.unionByName(new)
+                labels = components(links)
+                mixed = _mixed(met, labels)
+                more = 1
+        if not more:
+            break
+        width_of_round *= 8
     class_of = written(classes.select("sig", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("component_id")), "class_of")
     return (
         sketches.select("doc_id", "n", "sig")

@@ -39,7 +39,8 @@ def brute(rows, order=lm.ORDER, strength=lm.STRENGTH):
             for n in range(2, order + 1):
                 h = count[tuple(w[k - n + 1 : k])]
                 if h:
-                    p = (count[tuple(w[k - n + 1 : k + 1])] + strength[n - 2] * p) / (h + strength[n - 2])
+                    strong = strength[n - 2][0] + strength[n - 2][1] * h
+                    p = (count[tuple(w[k - n + 1 : k + 1])] + strong * p) / (h + strong)
             full += math.log10(p)
         out.append((i, held(i), len(w) - order + 1, known, total, base, full))
     return out
@@ -59,10 +60,24 @@ def test_small_cases(spark):
     rows = [(i, t) for i, t in enumerate(texts * 4)] + [(3, "a b c"), (None, "a b")]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     same(lm.score_documents(df).collect(), brute(rows))
-    same(lm.score_documents(df, order=2, strength=(5.0,)).collect(), brute(rows, 2, (5.0,)))
+    strength = ((5.0, 0.5), (2.0, 1.0))
+    same(lm.score_documents(df, order=3, strength=strength, buckets=7).collect(), brute(rows, 3, strength))
     assert lm.score_documents(df.limit(0)).collect() == []
 
 
+def test_packing_round_trips():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 500):
+        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
+    near = np.arange(10**6, 10**6 + 300, dtype=np.uint64)
+    assert (lm.unpacked_keys(lm.packed_keys(near)) == near).all()
+    for c in ([0], [255, 1], [256], [1 << 40, 3]):
+        assert lm.unpacked_counts(lm.packed_counts(np.array(c))).tolist() == c
+
+
 def test_counts_over_255_and_long_texts(spark):
     rows = [(0, "w " * 30_000), (2, "w v " * 300), (3, "w")]
     same(lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect(), brute(rows))

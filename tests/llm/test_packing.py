@@ -15,7 +15,7 @@ def direct():
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-ODD = [None, "", "  ", "Hello, World's  end", "naïvé é ́x", "a b c\x1cd", "<|endoftext|> x <|startoftext|>y", "ΑΣ ΣΑΣ ß İ", "日本語 テスト", "it's we'll '' 12 3.5", "word " * 9000, "\x00\x85z"]
+ODD = [None, "", "  ", "Hello, World's  end", "naïvé é ́x", "a b c\x1cd", "<|endoftext|> x <|startoftext|>y", "ΑΣ ΣΑΣ ß İ", "日本語 テスト", "it's we'll '' 12 3.5", "word " * 9000, "\x00\x85z", "Été, Ça! Über-groß naïve.. İx Kelvin Å a\u0301b can't x-y -- (foo) \"q\" a.b"]
 
 
 def test_word_cache_equals_whole_texts(direct):
