@@ -110,6 +110,12 @@ def similarity_likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.n
     return best, np.where(best >= threshold, 0.0, short)
 
 
+def likelihood_in_parts(regs: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float, rows: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`similarity_likelihood` of the rows a and b, a few at a time."""
+    parts = [similarity_likelihood(regs[a[k : k + rows]], regs[b[k : k + rows]], n[a[k : k + rows]], n[b[k : k + rows]], threshold) for k in range(0, len(a), rows)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(doc_id, n, sig, regs) of every row; sig is a 128-bit digest of the set,
     null for an empty one."""
@@ -140,9 +146,10 @@ def _bands(classes: DataFrame) -> DataFrame:
             regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(rows, BANDS)
             keys = _mix((regs ^ _BAND_SEED[None, :]) * _K1).view(np.int64).ravel()
             rep, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(rep), pa.array(n)], ["key", "rep", "n"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(band), pa.array(rep), pa.array(n)], ["key", "band", "rep", "n"])
 
-    return classes.select("rep", "n", "regs").mapInArrow(explode, "key bigint, rep bigint, n bigint")
+    return classes.select("rep", "n", "regs").mapInArrow(explode, "key bigint, band int, rep bigint, n bigint")
 
 
 def _plausible(na: np.ndarray, nb: np.ndarray, same: np.ndarray, threshold: float) -> np.ndarray:
@@ -220,14 +227,16 @@ BLOCK = 2000
 
 def _between(percent: int, width_of_round: int):
     """For one bucket (or two of its blocks): between each two components the
-    best pairs that the likelihood allows; ``cut`` says that there are more."""
+    best pairs that the likelihood allows; ``cut`` says that there are more. A
+    pair is looked at in the first band that it shares only."""
 
     def choose(table: pa.Table) -> pa.Table:
-        i, j = table["bi"][0].as_py(), table["bj"][0].as_py()
+        i, j, band = (table[c][0].as_py() for c in ("bi", "bj", "band"))
         rep, label, n, block = (table[c].to_numpy() for c in ("rep", "label", "n", "block"))
         order = np.lexsort((rep, label))
         rep, label, n, block = rep[order], label[order], n[order].astype(np.float64), block[order]
         regs = np.frombuffer(b"".join(table["regs"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        bands = regs.view(np.uint64)
         names, count = np.unique(label, return_counts=True)
         rows = np.flatnonzero(label != names[count.argmax()])  # the largest component against itself is known
         main = np.full(len(rep), True)
@@ -246,13 +255,15 @@ def _between(percent: int, width_of_round: int):
             a = part[a]
             for k in range(0, len(a), 20_000):
                 x, y = a[k : k + 20_000], b[k : k + 20_000]
+                first = (bands[x] == bands[y]).argmax(1) == band
+                x, y = x[first], y[first]
                 keep = _plausible(n[x], n[y], (regs[x] == regs[y]).sum(1), percent / 100)
                 if keep.any():
                     found.append((x[keep], y[keep]))
         out = {"a": [], "b": [], "cut": []}
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
-            best, short = similarity_likelihood(regs[a], regs[b], n[a], n[b], percent / 100)
+            best, short = likelihood_in_parts(regs, n, a, b, percent / 100)
             good = short <= RULED_OUT
             a, b, best = a[good], b[good], best[good]
             la, lb = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
@@ -271,8 +282,8 @@ def _between(percent: int, width_of_round: int):
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, rep, n, label) of buckets with more than one component."""
-    placed = written(met.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
+    """Members (key, band, rep, n, label) of buckets with more than one component."""
+    placed = written(met.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
     several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     return written(placed.join(several, "key"), "mixed")
 
@@ -283,7 +294,7 @@ def _candidates(mixed: DataFrame, classes: DataFrame, percent: int, width_of_rou
         mixed.join(classes.select("rep", "regs"), "rep")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "n", "label", "regs")
+        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep", "n", "label", "regs")
     )
     chosen = dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent, width_of_round), "a bigint, b bigint, cut boolean")
     return written(chosen.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
