@@ -82,8 +82,8 @@ SCHEMA = "sequence_id bigint, n_tokens int, ids binary, cu_seqlens array<int>, d
 
 
 def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Packed sequences: sequence_id, n_tokens, ids (little-endian unsigned 32
-    bits, padded with 0 to ``length``), cu_seqlens (segment borders, from 0 to
+    """Packed sequences: sequence_id, n_tokens, ids (little-endian unsigned, of
+    16 bits while the vocabulary allows, else 32; padded with 0 to ``length``), cu_seqlens (segment borders, from 0 to
     n_tokens), doc_ids and starts (per segment: its document and how many of
     that document's ids come before) and position_resets (per segment the first
     position id: 0 for a document's head, ``start`` for a continuation).
@@ -94,13 +94,14 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", t
     """
     ready(docs.sparkSession)
     path = tokenizer or default_tokenizer()
+    dtype = WordTokenizer.of(path).dtype
 
     def sequences(owners: list, ids: list[np.ndarray], first: int) -> pa.RecordBatch:
         pieces = [(d, s, min(length, len(x) - s)) for d, x in enumerate(ids) for s in range(0, len(x), length)]
         packed = best_fit([n for _, _, n in pieces], length)
         cols: list[list] = [[] for _ in range(7)]
         for k, members in enumerate(packed):
-            row = np.zeros(length, "<u4")
+            row = np.zeros(length, dtype)
             borders = [0]
             for m in members:
                 d, s, n = pieces[m]
@@ -138,8 +139,9 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", t
 
 def write_matrices(packed: DataFrame, folder: str, length: int = 2048) -> DataFrame:
     """Write each partition's sequences as one raw matrix of little-endian
-    unsigned 32-bit ids (rows of ``length``) into a shared folder; the manifest
-    (file, n_sequences, length, sequence_ids) says which rows it holds. Files
+    unsigned ids (rows of ``length``, ``id_bytes`` bytes an id) into a shared
+    folder; the manifest (file, n_sequences, length, id_bytes, sequence_ids) says
+    which rows it holds. Files
     are named by attempt: only those of the manifest count."""
     import uuid
 
@@ -148,16 +150,17 @@ def write_matrices(packed: DataFrame, folder: str, length: int = 2048) -> DataFr
 
         files, path = fs.FileSystem.from_uri(folder)
         files.create_dir(path, recursive=True)
-        name, out, ids = f"{uuid.uuid4().hex}.u32", None, []
+        name, out, ids = f"{uuid.uuid4().hex}.ids", None, []
         for batch in batches:
             for k, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = out or files.open_output_stream(f"{path}/{name}")
                 out.write(row)
+                width = len(row) // length
                 ids.append(k)
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([length], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "n_sequences", "length", "sequence_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([length], pa.int64()), pa.array([width], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "n_sequences", "length", "id_bytes", "sequence_ids"])
 
     from sievelake.llm.common import written
 
-    return written(packed.select("sequence_id", "ids").mapInArrow(write, "file string, n_sequences bigint, length bigint, sequence_ids array<bigint>"), "matrices")
+    return written(packed.select("sequence_id", "ids").mapInArrow(write, "file string, n_sequences bigint, length bigint, id_bytes bigint, sequence_ids array<bigint>"), "matrices")

@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 #: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 END_ID = 1
 
 #: A line of letters that the tokenizer's normaliser leaves alone once in lower
@@ -90,7 +90,9 @@ class WordTokenizer(dict):
         if len(self) > CACHE_WORDS:
             self.clear()
             self.runs = {"": b""}
-        words = [(t or b"").split() for t in texts]
+        # The tokenizer lowers letters itself; only its special tokens, which it
+        # looks for before, must not come about by lowering.
+        words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         fresh = list(set().union(*words).difference(self))
         for i in range(0, len(fresh), 20_000):
             self.learn(fresh[i : i + 20_000])

@@ -15,7 +15,7 @@ def direct():
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-ODD = [None, "", "  ", "Hello, World's  end", "naïvé é ́x", "a b c\x1cd", "<|endoftext|> x <|startoftext|>y", "ΑΣ ΣΑΣ ß İ", "日本語 テスト", "it's we'll '' 12 3.5", "word " * 9000, "\x00\x85z", "Été, Ça! Über-groß naïve.. İx Kelvin Å a\u0301b can't x-y -- (foo) \"q\" a.b"]
+ODD = [None, "", "  ", "Hello, World's  end", "naïvé é ́x", "a b c\x1cd", "<|endoftext|> x <|startoftext|>y", "<|ENDOFTEXT|> Up", "ΑΣ ΣΑΣ ß İ", "日本語 テスト", "it's we'll '' 12 3.5", "word " * 9000, "\x00\x85z", "Été, Ça! Über-groß naïve.. İx Kelvin Å a\u0301b can't x-y -- (foo) \"q\" a.b"]
 
 
 def test_word_cache_equals_whole_texts(direct):
@@ -108,7 +108,7 @@ def test_best_fit_and_round_trip(spark, sf, direct):
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got, total, rows = defaultdict(dict), 0, queries.op7_token_binary(spark, sf).collect()
     for r in rows:
-        ids = np.frombuffer(r.ids, "<u4")
+        ids = np.frombuffer(r.ids, "<u2")
         assert len(ids) == 2048 and not ids[r.n_tokens :].any() and r.cu_seqlens[-1] == r.n_tokens
         total += r.n_tokens
         for k, (d, s, reset) in enumerate(zip(r.doc_ids, r.starts, r.position_resets)):
@@ -126,6 +126,6 @@ def test_best_fit_edge_cases(spark, tmp_path):
     assert bestfit.pack_best_fit(df.limit(0)).collect() == []
     packed = bestfit.pack_best_fit(df, length=64)
     files = bestfit.write_matrices(packed, f"file://{tmp_path}/m", 64).collect()
-    data = {k: np.fromfile(f.file.removeprefix("file://"), "<u4").reshape(-1, 64)[i] for f in files for i, k in enumerate(f.sequence_ids)}
+    data = {k: np.fromfile(f.file.removeprefix("file://"), f"<u{f.id_bytes}").reshape(-1, 64)[i] for f in files for i, k in enumerate(f.sequence_ids)}
     for r in rows:
         assert data[r.sequence_id].tobytes() == r.ids
