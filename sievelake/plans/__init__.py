@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("profile_queries", "detect_queries", "retrieve_queries", "encode_queries", "select_queries", "text_queries", "store_queries", "stream_queries")
+FAMILIES = ("profile_queries", "detect_queries", "retrieve_queries", "encode_queries", "select_queries", "text_queries", "store_queries", "stream_queries", "summary_queries")
 
 
 def _gather(name: str) -> dict:
