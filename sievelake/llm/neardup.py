@@ -11,11 +11,10 @@ sets share a register with a probability that grows with their similarity.
 3. Registers of a pair, given the known set sizes, have a likelihood in the
    similarity; pairs that it rules out at five deviations go.
 4. The rest is confirmed on full sets. Components follow from the links.
-5. Buckets that still hold several components are looked at again: between two
-   components, the pairs that the likelihood allows go to 4 in the order of
-   their estimates, a few at first and eight times as many in each round, until
-   none is left that was not confirmed or refuted. Two components need one link
-   only, so most pairs of a large group are never looked up.
+5. Buckets that still hold several components are looked at again, with the full
+   sets of their members: between two components, the pairs that the likelihood
+   allows are confirmed in the order of their estimates until one is a link.
+   Two components need one link only, and only links leave a task.
 
 A pair of similarity 0.8 shares no band with a probability of 8e-6.
 """
@@ -188,47 +187,55 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 LOOKUP_IDS = 2_000_000
 
 
-def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(v, set): the full sets of representatives, sorted hashes as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             full = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], ["v", "set"])
 
-    wanted = written(left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))).distinct(), "wanted")
+    wanted = written(reps.distinct(), "wanted")
     texts = docs.select(F.col(id_col).cast("bigint").alias("v"), F.col(text_col).cast("binary").alias("raw"))
     looked_up = F.broadcast(wanted) if wanted.count() <= LOOKUP_IDS else wanted
     # An id may be repeated with another text: only the class's own set counts.
     own = classes.select(F.col("rep").alias("v"), "sig")
-    full = written(texts.join(looked_up, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set"))).join(own, ["v", "sig"], "left_semi").groupBy("v").agg(F.first("set").alias("set")), "sets")
+    return written(texts.join(looked_up, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set"))).join(own, ["v", "sig"], "left_semi").groupBy("v").agg(F.first("set").alias("set")), "sets")
+
+def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+
+    full = _sets(left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))), classes, docs, width, id_col, text_col)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                i = np.searchsorted(y, x)
-                both = int((y[np.minimum(i, len(y) - 1)] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            good = [_reaches(x, y, percent) for x, y in sets]
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     part = lambda x, s: full.select(F.col("v").alias(x), F.col("set").alias(s))
     out = written(left.join(part("a", "x"), "a").join(part("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
     drop_written(full)
-    drop_written(wanted)
     return out
 
 
 #: Members of a bucket that a task compares with as many others; larger buckets
 #: are split into blocks, and a task gets two.
-BLOCK = 2000
+BLOCK = 1000
+
 
+def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def _between(percent: int, width_of_round: int):
-    """For one bucket (or two of its blocks): between each two components the
-    best pairs that the likelihood allows; ``cut`` says that there are more. A
-    pair is looked at in the first band that it shares only."""
+
+def _between(percent: int):
+    """For one bucket (or two of its blocks): links between components, at most
+    one between two of them, by the best estimates first. A pair is looked at in
+    the first band that it shares only."""
 
     def choose(table: pa.Table) -> pa.Table:
         i, j, band = (table[c][0].as_py() for c in ("bi", "bj", "band"))
@@ -237,21 +244,19 @@ def _between(percent: int, width_of_round: int):
         rep, label, n, block = rep[order], label[order], n[order].astype(np.float64), block[order]
         regs = np.frombuffer(b"".join(table["regs"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
         bands = regs.view(np.uint64)
-        names, count = np.unique(label, return_counts=True)
-        rows = np.flatnonzero(label != names[count.argmax()])  # the largest component against itself is known
-        main = np.full(len(rep), True)
-        main[rows] = False
+        names, group = np.unique(label, return_inverse=True)
+        largest = np.bincount(group).argmax()
+        rows = np.flatnonzero(group != largest)  # the largest component against itself is known
+        main = group == largest
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, len(rows), 32):
             part = rows[lo : lo + 32]
             # Each pair once: against the largest component, and later rows.
-            ok = (label[part][:, None] != label[None, :]) & (main[None, :] | (np.arange(len(rep))[None, :] > part[:, None]))
+            ok = (group[part][:, None] != group[None, :]) & (main[None, :] | (np.arange(len(rep))[None, :] > part[:, None]))
             ok &= 100 * np.minimum(n[part][:, None], n[None, :]) >= percent * np.maximum(n[part][:, None], n[None, :])
             if i != j:
                 ok &= block[part][:, None] != block[None, :]
             a, b = np.nonzero(ok)
-            if not len(a):
-                continue
             a = part[a]
             for k in range(0, len(a), 20_000):
                 x, y = a[k : k + 20_000], b[k : k + 20_000]
@@ -260,23 +265,32 @@ def _between(percent: int, width_of_round: int):
                 keep = _plausible(n[x], n[y], (regs[x] == regs[y]).sum(1), percent / 100)
                 if keep.any():
                     found.append((x[keep], y[keep]))
-        out = {"a": [], "b": [], "cut": []}
+        links = []
         if found:
             a, b = (np.concatenate(x) for x in zip(*found))
             best, short = likelihood_in_parts(regs, n, a, b, percent / 100)
-            good = short <= RULED_OUT
-            a, b, best = a[good], b[good], best[good]
-            la, lb = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-            order = np.lexsort((rep[b], rep[a], -best, lb, la))
-            a, b, la, lb = a[order], b[order], la[order], lb[order]
-            new = np.r_[True, (la[1:] != la[:-1]) | (lb[1:] != lb[:-1])] if len(a) else np.zeros(0, bool)
-            start = np.flatnonzero(new)
-            size = np.diff(np.r_[start, len(a)])
-            rank = np.arange(len(a)) - np.repeat(start, size)
-            take = rank < width_of_round
-            out["a"], out["b"] = np.minimum(rep[a], rep[b])[take], np.maximum(rep[a], rep[b])[take]
-            out["cut"] = np.repeat(size > width_of_round, size)[take]
-        return pa.table({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "cut": pa.array(out["cut"], pa.bool_())})
+            good = np.flatnonzero(short <= RULED_OUT)
+            good = good[np.lexsort((b[good], a[good], -best[good]))]
+            column = table["set"].take(pa.array(order))
+            parent = list(range(len(names)))
+
+            def root(g: int) -> int:
+                while parent[g] != g:
+                    parent[g] = g = parent[parent[g]]
+                return g
+
+            sets: dict[int, np.ndarray] = {}
+            for x, y in zip(a[good].tolist(), b[good].tolist()):
+                p, q = root(group[x]), root(group[y])
+                if p == q:
+                    continue
+                for z in (x, y):
+                    if z not in sets:
+                        sets[z] = np.frombuffer(column[z].as_py(), np.uint64)
+                if _reaches(sets[x], sets[y], percent):
+                    parent[p] = q
+                    links.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return choose
 
@@ -288,16 +302,17 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     return written(placed.join(several, "key"), "mixed")
 
 
-def _candidates(mixed: DataFrame, classes: DataFrame, percent: int, width_of_round: int) -> DataFrame:
+def _links_between(mixed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    full = _sets(mixed.select(F.col("rep").alias("v")), classes, docs, width, id_col, text_col)
+    members = written(full.select(F.col("v").alias("rep"), "set").join(classes.select("rep", "regs"), "rep"), "members")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (
-        mixed.join(classes.select("rep", "regs"), "rep")
-        .withColumn("block", block)
+        mixed.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep", "n", "label", "regs")
+        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep", "n", "label")
+        .join(members, "rep")
     )
-    chosen = dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent, width_of_round), "a bigint, b bigint, cut boolean")
-    return written(chosen.groupBy("a", "b").agg(F.max("cut").alias("cut")), "candidates")
+    return written(dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent), "a bigint, b bigint"), "between")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -321,25 +336,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = Window.partitionBy("key")
     # Only buckets of two or more are kept: few rows.
     met = written(_bands(classes).withColumn("least", F.min("rep").over(bucket)).withColumn("most", F.max("rep").over(bucket)).where("least != most").drop("most"), "met")
-    tested = written(met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = _confirmed(_likely(tested, classes, percent), classes, docs, width, percent, id_col, text_col)
+    stars = met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _confirmed(_likely(stars, classes, percent), classes, docs, width, percent, id_col, text_col)
     labels = components(links)
-    mixed, width_of_round = _mixed(met, labels), 2
-    while mixed.limit(1).count():
-        chosen = _candidates(mixed, classes, percent, width_of_round)
-        fresh = written(chosen.select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-        more = chosen.where("cut").limit(1).count()
-        if fresh.limit(1).count():
-            new = _confirmed(fresh, classes, docs, width, percent, id_col, text_col)
-            tested = tested.unionByName(fresh)
-            if new.limit(1).count():
-                links = links.unionByName(new)
-                labels = components(links)
-                mixed = _mixed(met, labels)
-                more = 1
-        if not more:
-            break
-        width_of_round *= 8
+    mixed = _mixed(met, labels)
+    if mixed.limit(1).count():
+        more = _links_between(mixed, classes, docs, width, percent, id_col, text_col)
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     class_of = written(classes.select("sig", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("component_id")), "class_of")
     return (
         sketches.select("doc_id", "n", "sig")
