@@ -43,22 +43,21 @@ def _filled(ls: Column) -> Column:
 
 def json_confidence(text: Column) -> Column:
     """1.0 for a JSON array of objects, 0.8 for another array, else null."""
-    v = F.try_parse_json(F.trim(text))
-    items = F.try_variant_get(v, "$", "array<variant>")
-    objects = (F.size(items) > 0) & F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
-    return F.when(F.trim(text).startswith("[") & items.isNotNull(), F.when(objects, 1.0).otherwise(0.8))
+    objects = lambda items: (F.size(items) > 0) & F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    found = F.when(F.trim(text).startswith("["), F.try_variant_get(F.try_parse_json(F.trim(text)), "$", "array<variant>"))
+    return bound(found, lambda items: F.when(items.isNotNull(), F.when(objects(items), 1.0).otherwise(0.8)))
 
 
 def array_of_objects(v: Column, key: str) -> Column:
-    items = F.try_variant_get(v, f"$.{key}", "array<variant>")
-    return items.isNotNull() & (F.size(items) > 0) & F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT"))
+    records = lambda x: x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda y: F.schema_of_variant(y).startswith("OBJECT"))
+    return bound(F.try_variant_get(v, f"$.{key}", "array<variant>"), records)
 
 
 def envelope_key(text: Column) -> Column:
     """The one wrapper key that holds a list of objects; null if none or many."""
-    v = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(F.trim(text)))
-    found = F.array_compact(F.array(*[F.when(array_of_objects(v, k), F.lit(k)) for k in ENVELOPE_KEYS]))
-    return F.when(F.size(found) == 1, found[0])
+    parsed = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(F.trim(text)))
+    keys = lambda v: F.array_compact(F.array(*[F.when(array_of_objects(v, k), F.lit(k)) for k in ENVELOPE_KEYS]))
+    return F.when(F.ltrim(text).startswith("{"), bound(parsed, lambda v: bound(keys(v), lambda found: F.when(F.size(found) == 1, found[0]))))
 
 
 def diff_confidence(text: Column) -> Column:

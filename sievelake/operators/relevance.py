@@ -26,7 +26,9 @@ def query_terms(query: str) -> dict[str, int]:
 
 def _counted(docs: DataFrame, text: str, terms: dict[str, int]) -> DataFrame:
     toks = F.col("_toks")
-    out = docs.withColumn("_toks", F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)"))).withColumn("_len", F.size("_toks"))
+    # A generated column: texts are cut into tokens once, not once per term.
+    found = F.coalesce(tokens(F.col(text)), F.expr("cast(array() as array<string>)"))
+    out = docs.select("*", F.explode(F.array(found)).alias("_toks")).withColumn("_len", F.size("_toks"))
     tf = [F.size(F.array_remove(toks, t)) for t in terms]
     tf = [(F.col("_len") - n).cast("double") for n in tf]
     return out.withColumn("_tf", F.array(*tf) if tf else F.expr("cast(array() as array<double>)")).drop("_toks")
