@@ -21,8 +21,11 @@ ARROW_ROWS = 1000
 
 def ready(spark: SparkSession) -> SparkSession:
     """Ship this package to the Python workers (once per application) and set
-    the Arrow batch size for text rows."""
+    the Arrow batch size for text rows. A union of equally partitioned inputs
+    must not pass for partitioned itself: adaptive execution may have merged
+    their partitions differently."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if getattr(sc, "_sievelake_shipped", None) != sc.applicationId:
         root = Path(__file__).resolve().parents[1]
         buf = io.BytesIO()
