@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,25 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1000
 
 
+#: What frees the cache of each operator that keeps one in its Python workers.
+_CACHES: dict[str, Callable[[], None]] = {}
+_LAST: list[str] = []
+
+
+def keeps_cache(name: str, clear: Callable[[], None]) -> None:
+    _CACHES[name] = clear
+
+
+def claim_cache(name: str) -> None:
+    """Called where a task starts: workers outlive operators, so the caches of
+    the others go first."""
+    if _LAST != [name]:
+        for other, clear in _CACHES.items():
+            if other != name:
+                clear()
+        _LAST[:] = [name]
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Ship this package to the Python workers (once per application) and set
     the Arrow batch size for text rows. A union of equally partitioned inputs

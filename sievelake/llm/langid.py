@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ready
+from sievelake.llm.common import claim_cache, keeps_cache, ready
 
 ORDER, DISCOUNT, EDGE = 5, 0.75, 0x1F
 #: A document is rejected when its best cross-entropy a letter, in log10 units,
@@ -243,6 +243,7 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
 #: Costs of words that a Python worker has scored, per model; emptied at a size.
 _SEEN: dict = {}
+keeps_cache("langid", _SEEN.clear)
 SEEN_LIMIT = 300_000
 
 
@@ -264,6 +265,7 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
     names_out = [*(base.columns if keep else [id_col]), "lang_pred", "score", "rejected"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("langid")
         m = shared.value
         if key not in _SEEN:
             _SEEN.clear()

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ready, written
+from sievelake.llm.common import claim_cache, keeps_cache, ready, written
 
 ORDER = 2
 #: (a_n, b_n) for n = 2, 3, ...: how much evidence the shorter context is worth.
@@ -53,6 +53,7 @@ class _WordHash(dict):
 
 
 _WORDS = _WordHash()
+keeps_cache("lm", _WORDS.clear)
 
 
 def held_out(doc_id: object) -> bool:
@@ -113,6 +114,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = ([number], [pa_bytes(ids_array(ids))], [body], [len(u)])
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["block", "ids", "body", "types"])
 
+    claim_cache("lm")
     number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
     for batch in batches:
         for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import components, drop_written, ready, written
+from sievelake.llm.common import claim_cache, components, drop_written, keeps_cache, ready, written
 
 REGISTERS, BAND, BASE = 512, 8, 1.1
 BANDS = REGISTERS // BAND
@@ -56,6 +56,7 @@ class _WordHash(dict):
 
 
 _WORDS = _WordHash()
+keeps_cache("neardup", _WORDS.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -120,6 +121,7 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
     null for an empty one."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("neardup")
         for batch in batches:
             n, sig, regs, known = [], [], [], {}
             for raw in batch.column(1).to_pylist():
@@ -191,6 +193,7 @@ def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_c
     """(v, set): the full sets of representatives, sorted hashes as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim_cache("neardup")
         for batch in batches:
             full = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], ["v", "set"])

@@ -15,8 +15,10 @@ from array import array
 
 import numpy as np
 
+from sievelake.llm.common import claim_cache, keeps_cache
+
 #: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 END_ID = 1
 
 #: A line of letters that the tokenizer's normaliser leaves alone once in lower
@@ -61,8 +63,15 @@ class WordTokenizer(dict):
         self.runs: dict[str, bytes] = {"": b""}
         self.end = np.array([END_ID], self.dtype).tobytes()
 
+    @classmethod
+    def forget(cls) -> None:
+        for made in cls._made.values():
+            made.clear()
+            made.runs = {"": b""}
+
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
+        claim_cache("tokens")
         if path not in cls._made:
             cls._made[path] = cls(path)
         return cls._made[path]
@@ -97,3 +106,6 @@ class WordTokenizer(dict):
         for i in range(0, len(fresh), 20_000):
             self.learn(fresh[i : i + 20_000])
         return [b"".join(map(self.__getitem__, w)) + self.end for w in words]
+
+
+keeps_cache("tokens", WordTokenizer.forget)
