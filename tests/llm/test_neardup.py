@@ -83,3 +83,31 @@ def test_registers_merge_and_estimate():
     ra, rb = (np.stack([neardup.registers(s)]) for s in (x[:2700], x[300:]))
     best, short = neardup.similarity_likelihood(ra, rb, np.array([2700.0]), np.array([2700.0]), 0.8)
     assert short[0] < neardup.RULED_OUT
+
+
+def test_blocks_of_a_large_group(spark, monkeypatch):
+    """A family of near copies that are not all alike, in blocks of 20."""
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for n in range(90):
+        w = list(base)
+        for i in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            w[i] = f"n{n}x{i}"
+        rows.append((n, " ".join(w)))
+    assert found(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=2)) == brute(rows)
+
+
+def test_quick_test_drops_only_what_the_likelihood_drops():
+    rng = np.random.default_rng(3)
+    for share in (0.6, 0.7, 0.75, 0.8, 0.9):
+        x = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+        k = int(400 * 2 * share / (1 + share))
+        y = np.concatenate([x[:k], rng.integers(0, 1 << 63, 400 - k).astype(np.uint64)])
+        a, b = (np.stack([neardup.registers(s)]) for s in (x, y))
+        n = np.array([400.0])
+        _, short = neardup.similarity_likelihood(a, b, n, n, 0.8)
+        quick = neardup._plausible(n, n, (a == b).sum(1), 0.8)[0]
+        assert quick or short[0] > neardup.RULED_OUT
+        assert share < 0.8 or short[0] <= neardup.RULED_OUT
