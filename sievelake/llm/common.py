@@ -4,6 +4,7 @@ written there, shipping of this package to executors, and connected components.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import tempfile
@@ -12,12 +13,13 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python. Long documents are common, so
 #: this is well below Spark's default of 10,000.
-ARROW_ROWS = 1000
+ARROW_ROWS = 250
 
 
 #: What frees the cache of each operator that keeps one in its Python workers.
@@ -31,12 +33,22 @@ def keeps_cache(name: str, clear: Callable[[], None]) -> None:
 
 def claim_cache(name: str) -> None:
     """Called where a task starts: workers outlive operators, so the caches of
-    the others go first."""
+    the others go first, and freed memory goes back to the system."""
     if _LAST != [name]:
         for other, clear in _CACHES.items():
             if other != name:
                 clear()
         _LAST[:] = [name]
+    give_back()
+
+
+def give_back() -> None:
+    """Return what allocators hold unused; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ready(spark: SparkSession) -> SparkSession:

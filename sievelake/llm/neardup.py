@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import claim_cache, components, drop_written, keeps_cache, ready, written
+from sievelake.llm.common import claim_cache, components, drop_written, give_back, keeps_cache, ready, written
 
 REGISTERS, BAND, BASE = 512, 8, 1.1
 BANDS = REGISTERS // BAND
@@ -140,6 +140,8 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
 
 def _bands(classes: DataFrame) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        _WORDS.clear()  # sketches are done
         for batch in batches:
             rows = len(batch)
             if not rows:
@@ -224,7 +226,7 @@ def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 #: Members of a bucket that a task compares with as many others; larger buckets
 #: are split into blocks, and a task gets two.
-BLOCK = 1000
+BLOCK = 500
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

@@ -18,7 +18,7 @@ import numpy as np
 from sievelake.llm.common import claim_cache, keeps_cache
 
 #: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 END_ID = 1
 
 #: A line of letters that the tokenizer's normaliser leaves alone once in lower
