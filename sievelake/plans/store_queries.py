@@ -433,8 +433,8 @@ UNION ALL SELECT c.user_id, c.event_id, c.i, CASE WHEN c.event_id < z.til THEN z
     "src_json": "SELECT 'json-' || c_nationkey AS pid, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx, c_custkey AS id, c_name AS name FROM customer",
     "src_envelope": f"WITH {_ENV} SELECT pid, 'data' AS key, idx, id FROM s",
     "src_dominant_array": f"WITH {_ENV} SELECT pid, 'traceEvents' AS key, idx, id FROM s",
-    "src_csv_sniff": "SELECT 'csv-' || p_brand AS pid, ',' AS delimiter, count(*) AS n_rows, 4::BIGINT AS n_fields FROM part GROUP BY p_brand HAVING count(*) >= 5",
-    "src_csv_rows": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_no, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+    "src_csv_sniff": "SELECT 'csv-' || p_brand AS pid, ',' AS delimiter, count(*) AS n_rows, 4::BIGINT AS n_fields FROM part GROUP BY p_brand HAVING count(*) >= 5 AND 18 + sum(length(p_partkey || p_name || p_type || p_size) + 4) >= 200",
+    "src_csv_rows": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS row_no, CASE WHEN 18 + sum(length(p_partkey || p_name || p_type || p_size) + 4) OVER (PARTITION BY p_brand) >= 200 THEN count(*) OVER (PARTITION BY p_brand) END AS n FROM part)
 SELECT 'csv-' || p_brand AS pid, row_no, unnest(['key', 'name', 'type', 'size']) AS field, unnest([p_partkey::VARCHAR, p_name, p_type, p_size::VARCHAR]) AS s, unnest(['int', 'string', 'string', 'int']) AS kind FROM r WHERE n >= 5""",
     "src_csv_coerce": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 1000 >= 100 OR o_orderkey % 1000 = 0 AND FALSE THEN 'int' ELSE 'string' END WHEN 1 THEN 'int' WHEN 3 THEN 'float' ELSE 'string' END AS kind FROM orders",
     "snk_json_py": """WITH s AS (SELECT 'envelope-' || s_nationkey AS pid, string_agg('{"id": ' || s_suppkey || ', "name": "' || s_name || '"}', ', ' ORDER BY s_suppkey) AS a FROM supplier GROUP BY s_nationkey) SELECT pid, '{"data": [' || a || '], "meta": {"page": 1}}' AS json FROM s""",
