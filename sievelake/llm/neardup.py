@@ -226,7 +226,7 @@ def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 #: Members of a bucket that a task compares with as many others; larger buckets
 #: are split into blocks, and a task gets two.
-BLOCK = 500
+BLOCK = 2000
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
