@@ -359,8 +359,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the rows of ``docs`` whose id is their
-    component's. Of rows that repeat that id, one stays if they are equal in
-    every column. Rows with a null id stay."""
+    """The rows of ``docs`` whose id is their component's: all rows that repeat
+    that id stay, and rows with a null id stay. :func:`one_per_group` leaves one
+    row of each group."""
     found = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("_sl_id")).distinct()
     return docs.join(found, F.col(id_col).cast("bigint") == F.col("_sl_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-duplicates: the smallest id's, a null id
+    last, and of rows that repeat it the least by a digest of all columns.
+
+    Rows are linked by numbers of their own, so ids may be null or repeated with
+    any texts. A row without words is linked with nothing and stays; of such
+    rows that are equal in every column one does.
+    """
+    ready(docs.sparkSession)
+    # Written once, so that the numbers are the same wherever they are read.
+    rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, "_sl_row", text_col, width, percent).select(F.col("doc_id").alias("_sl_row"), "n_shingles", "component_id")
+    digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}))
+    keys = rows.select("_sl_row", F.col(id_col).alias("_sl_id"), digest.alias("_sl_digest"))
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.concat(F.lit("="), "_sl_digest"))
+    first = F.min(F.struct(F.col("_sl_id").isNull().alias("none"), F.col("_sl_id").alias("id"), F.col("_sl_digest").alias("digest"), F.col("_sl_row").alias("row")))
+    chosen = keys.join(found, "_sl_row").groupBy(group.alias("_sl_group")).agg(first.alias("first")).select(F.col("first.row").alias("_sl_row"))
+    return rows.join(chosen, "_sl_row", "left_semi").drop("_sl_row")
