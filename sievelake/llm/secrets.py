@@ -35,7 +35,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 
 ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}", re.I | re.A)
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A run of any length. '=' is padding after a run only: a value may follow one.
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 SCOPE_BREAK = re.compile(r"\n[ \t\r]*\n")
 #: A document without any of these bytes (letters lowered) has no assignment.
 ASSIGN_WORDS = (b"passw", b"secret", b"token", b"api")
