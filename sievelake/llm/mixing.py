@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from sievelake.llm.common import written
 
-#: Terms of the distribution that are summed; a rate may be up to MAX_RATE,
+#: Terms of the distribution that are summed; a mean may be up to MAX_MEAN,
 #: beyond which the tail past the last term would no longer be negligible.
-TERMS, MAX_RATE = 96, 32.0
+#: Larger means are drawn in independent parts.
+TERMS, MAX_MEAN = 96, 32.0
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -40,6 +41,15 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
     return F.when(mean > 0, step).otherwise(F.lit(0))
 
 
+def poisson_count(mean: Column, seed: int, id_col: Column) -> Column:
+    """The count of an id for any mean: up to MAX_MEAN one draw, beyond it the
+    sum of draws of equal parts, each with a hash of its own."""
+    parts = F.ceil(mean / MAX_MEAN).cast("int")
+    more = F.transform(F.sequence(F.lit(1), parts), lambda i: unit_hash(F.lit(f"part{seed}"), i, id_col))
+    many = F.aggregate(more, F.lit(0), lambda n, u: n + poisson_inverse(u, mean / parts))
+    return F.when(mean > MAX_MEAN, many).otherwise(poisson_inverse(unit_hash(F.lit(seed), id_col), mean))
+
+
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col: str = "source", text_col: str = "text", temperature: float = 0.5, budget: float = 1.0) -> DataFrame:
     """(source, weight, rate): the mean number of copies per document.
 
@@ -47,8 +57,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
     lacks gets rate 0). Without it, weights are the sources' shares of code
     points to the power ``temperature``. Over all documents, expected code
     points are ``budget`` times those read. A null source is a source of its
-    own. A rate stays at most MAX_RATE. Sizes are counted over whole texts of
-    all rows, combined before the shuffle.
+    own. Rates have no upper bound. Sizes are counted over whole texts of all
+    rows, combined before the shuffle.
     """
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0))).cast("double").alias("size"))
     if weights is None:
@@ -60,7 +70,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, source_col:
     return sized.crossJoin(F.broadcast(total)).select(  # the total is one row
         "source",
         (F.col("weight") / F.col("all_weight")).alias("weight"),
-        F.when(F.col("size") > 0, F.least(F.lit(MAX_RATE), F.lit(budget) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size"))).otherwise(F.lit(0.0)).alias("rate"),
+        F.when(F.col("size") > 0, F.lit(budget) * F.col("weight") / F.col("all_weight") * F.col("all_size") / F.col("size")).otherwise(F.lit(0.0)).alias("rate"),
     )
 
 
@@ -75,7 +85,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
     base = docs.drop("copy_no", "mix_key")
     rates = written(source_rates(base, weights, source_col, text_col, temperature, budget).select(F.col("source").alias("_sl_source"), F.col("rate").alias("_sl_rate")), "rates")
     drawn = base.join(rates, F.col(source_col).eqNullSafe(F.col("_sl_source"))).withColumn(
-        "_sl_count", poisson_inverse(unit_hash(F.lit(seed), F.col(id_col)), F.col("_sl_rate"))
+        "_sl_count", poisson_count(F.col("_sl_rate"), seed, F.col(id_col))
     )
     copies = drawn.where("_sl_count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_sl_count") - 1)))
     keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy_no"))), 1, 15), 16, 10).cast("bigint"))
