@@ -18,7 +18,7 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         key.alias("hash_key"),
         "doc_id",
-        F.substring("text", 1, 400).alias("original_content"),
+        F.col("text").alias("original_content"),
         F.substring("text", 1, 40).alias("compressed_content"),
         F.floor(F.length("text") / 4).alias("original_tokens"),
         F.floor(F.length("text") / 40).alias("compressed_tokens"),
