@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,12 +29,9 @@ def simhash(text: str) -> int:
     """64-bit SimHash of the character 4-grams of a text in lower case."""
     low = text.lower()
     grams = {low[i : i + 4] for i in range(max(1, len(low) - 3))}
-    votes = [0] * 64
-    for g in grams:
-        h = int.from_bytes(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-        for b in range(64):
-            votes[b] += 1 if h >> b & 1 else -1
-    return sum(1 << b for b in range(64) if votes[b] > 0)
+    hashes = b"".join(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest() for g in grams)
+    ones = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
 
 
 def unique_groups(texts: list[str], distance: int = 3) -> int:

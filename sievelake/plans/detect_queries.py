@@ -39,7 +39,7 @@ def q_array_kind(spark, sf):
 
 def q_cell_class(spark, sf):
     d = table(spark, sf, "documents")
-    v = F.when(F.col("doc_id") % 4 == 0, F.base64(F.sha2(F.col("doc_id").cast("string"), 512).cast("binary"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p><b>"), F.col("doc_id").cast("string"), F.lit("</b><i>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise(F.substring("text", 1, 300))
+    v = F.when(F.col("doc_id") % 4 == 0, F.base64(F.sha2(F.col("doc_id").cast("string"), 512).cast("binary"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p><b>"), F.col("doc_id").cast("string"), F.lit("</b><i>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise(F.col("text"))
     return d.select("doc_id", D.cell_class(v).alias("cls")).where("cls is not null")
 
 

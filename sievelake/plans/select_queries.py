@@ -175,7 +175,7 @@ def q_object_keys(spark, sf):
 
 
 def q_simhash(spark, sf):
-    return R.per_document(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t")), "doc_id", "t", lambda t: (None if t is None else R.simhash(t) - (1 << 63),), "simhash bigint")
+    return R.per_document(table(spark, sf, "documents"), "doc_id", "text", lambda t: (None if t is None else R.simhash(t) - (1 << 63),), "simhash bigint")
 
 
 def q_adaptive(spark, sf):

@@ -176,7 +176,7 @@ def q_mixed_split(spark, sf):
 
 
 def q_tags(spark, sf):
-    wrapped = table(spark, sf, "conversations").where("text is not null").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("<tool-use id=\"1\">"), F.substring("text", 1, 30), F.lit("</tool-use> and <b>"), F.substring("text", 31, 40), F.lit("</b>")).alias("t"))
+    wrapped = table(spark, sf, "conversations").where("text is not null").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("<tool-use id=\"1\">"), F.substring("text", 1, 30), F.lit("</tool-use> and <b>"), F.expr("substring(text, 31)"), F.lit("</b>")).alias("t"))
 
     def run(t):
         clean, blocks = R.protect_tags(t)
