@@ -2,7 +2,7 @@
 
 Each task packs its payloads into one tar shard in the shared folder, as 8-bit
 grey PNG pictures 64 samples wide; a payload that the task has seen before is
-not stored again. Rows carry digest, shard, offset and length. A digest's
+not stored again. The manifest has digest, shard, offset and length. A digest's
 address is the first of its places (shard, then offset), so all equal payloads
 resolve to one stored form although texts are never shuffled: only digests are.
 
@@ -11,7 +11,8 @@ by Spark: rows point only to shards of attempts that ended, so a lost executor
 leaves at most an unreferenced file behind.
 
 ``read_headers`` fills columns (width, height, depth) by range reads of the
-header bytes; ``read_features`` reads whole payloads by their ranges.
+header bytes; ``read_features`` reads whole payloads by their ranges and is what
+:func:`media_columns` uses, width and height included.
 """
 
 from __future__ import annotations
