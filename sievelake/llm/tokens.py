@@ -18,7 +18,7 @@ import numpy as np
 from sievelake.llm.common import claim_cache, keeps_cache
 
 #: Words whose ids a worker keeps; the cache is emptied when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 END_ID = 1
 
 #: A line of letters that the tokenizer's normaliser leaves alone once in lower
@@ -44,7 +44,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordTokenizer(dict):
+class WordTokenizer:
     """Ids of words (keys and values are bytes) and of whole texts, as
     little-endian unsigned integers: 16 bits while the vocabulary allows, else
     32."""
@@ -55,7 +55,8 @@ class WordTokenizer(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
+        # A plain dict: taking one of a subclass from a set walks over all of it.
+        self.words: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = self.tokenizer.model.tokenize
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -66,7 +67,7 @@ class WordTokenizer(dict):
     @classmethod
     def forget(cls) -> None:
         for made in cls._made.values():
-            made.clear()
+            made.words = {}
             made.runs = {"": b""}
 
     @classmethod
@@ -89,23 +90,24 @@ class WordTokenizer(dict):
         runs = self.runs
         for r in {r for p in parts if not p[2] for r in p[:2]}.difference(runs):
             runs[r] = self.run(r)
-        self.update([(w, runs[a] + runs[b]) for w, (a, b, c) in zip(words, parts) if not c])
+        self.words.update([(w, runs[a] + runs[b]) for w, (a, b, c) in zip(words, parts) if not c])
         rest = [w for w, p in zip(words, parts) if p[2]]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)):
-            self[w] = array(self.code, e.ids).tobytes()
+            self.words[w] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text (null: empty) without special tokens, then END_ID."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
             self.runs = {"": b""}
         # The tokenizer lowers letters itself; only its special tokens, which it
         # looks for before, must not come about by lowering.
         words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        fresh = list(set().union(*words).difference(self))
+        fresh = list(set().union(*words).difference(self.words))
         for i in range(0, len(fresh), 20_000):
             self.learn(fresh[i : i + 20_000])
-        return [b"".join(map(self.__getitem__, w)) + self.end for w in words]
+        known = self.words
+        return [b"".join(map(known.__getitem__, w)) + self.end for w in words]
 
 
 keeps_cache("tokens", WordTokenizer.forget)
