@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What opens and closes a private key; a whole block, whatever it
+# holds short of the next five hyphens; and a block cut short, of which runs of 16
+# base64 letters or more go, parted by line breaks, written out or as backslash
+# and n. Loops are possessive, so that the JVM does not recurse per line.
+_OPEN, _CLOSE = (rf"-----{w}[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for w in ("BEGIN", "END"))
+_WHOLE = r"[^-]*(?:-{1,4}[^-]+)*+"
+_CUT = r"(?:[ \t]*[A-Za-z0-9+/=]{16,})?(?:(?:\\n|[\r\n])+[ \t]*[A-Za-z0-9+/=]{16,})*+"
+
 # Credential classes and their patterns, in order.
 CREDENTIALS = (
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    ("private-key", f"{_OPEN}(?:{_WHOLE}{_CLOSE}|{_CUT})"),
     ("aws-access-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("gcp-api-key", r"\bAIza[0-9A-Za-z_\-]{35}\b"),
     ("openai-key", r"\bsk-[A-Za-z0-9_\-]{20,}"),

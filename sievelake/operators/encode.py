@@ -275,20 +275,45 @@ def flatten(df: DataFrame, column: str, most: int = 6) -> DataFrame:
 
 def compact_document(docs: DataFrame, key: str, text: str, depth: int = 50) -> DataFrame:
     """(key, compact, tables): every array of two or more objects with the same
-    keys, anywhere in a JSON document, as {"cols": [...], "rows": [[...]]};
-    other texts come back as they are. Nesting is followed ``depth`` levels."""
+    keys, anywhere in a JSON document, as {"cols": [...], "rows": [[...]]}. An
+    object of the document that has these two keys itself becomes a table
+    without columns, {"cols": [], "rows": [[its cols, its rows]]}. Nesting is
+    followed ``depth`` levels; below, objects are only escaped.
+
+    ``tables`` counts both. Texts that are no JSON, repeat a key in an object or
+    write a number as JSON would not write it again come back as they are, with
+    no tables."""
     kind = docs.schema[key].dataType.simpleString()
 
     def pack(node, left: int):
         if isinstance(node, dict):
-            return node if not left else {k: pack(v, left - 1) for k, v in node.items()}
+            out = {k: pack(v, left - 1) for k, v in node.items()}
+            if list(out) == ["cols", "rows"]:
+                count[0] += 1
+                return {"cols": [], "rows": [list(out.values())]}
+            return out
         if isinstance(node, list):
-            if len(node) >= 2 and all(isinstance(x, dict) and list(x) == list(node[0]) for x in node) and node[0]:
+            if left >= 0 and len(node) >= 2 and all(isinstance(x, dict) and list(x) == list(node[0]) for x in node) and node[0]:
                 count[0] += 1
-                return {"cols": list(node[0]), "rows": [[pack(v, left - 1) if left else v for v in x.values()] for x in node]}
-            return node if not left else [pack(v, left - 1) for v in node]
+                return {"cols": list(node[0]), "rows": [[pack(v, left - 1) for v in x.values()] for x in node]}
+            return [pack(v, left - 1) for v in node]
         return node
 
+    def same(read):
+        def number(text: str):
+            value = read(text)
+            if json.dumps(value) != text:
+                raise ValueError(text)
+            return value
+
+        return number
+
+    def once(pairs: list[tuple]) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError("repeated key")
+        return out
+
     count = [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,21 +322,28 @@ def compact_document(docs: DataFrame, key: str, text: str, depth: int = 50) -> D
             for t in batch.column(1).to_pylist():
                 count[0] = 0
                 try:
-                    out.append(json.dumps(pack(json.loads(t), depth), ensure_ascii=False, separators=(",", ":")))
+                    node = json.loads(t, parse_int=same(int), parse_float=same(float), object_pairs_hook=once)
+                    out.append(json.dumps(pack(node, depth), ensure_ascii=False, separators=(",", ":")))
+                    n.append(count[0])
                 except (ValueError, TypeError, RecursionError):
                     out.append(t)
-                n.append(count[0])
+                    n.append(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], [key, "compact", "tables"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, compact string, tables int")
 
 
-def unpack_document(text: str) -> str:
-    """The decoder of :func:`compact_document`."""
+def unpack_document(text: str, tables: int = 1) -> str:
+    """The decoder of :func:`compact_document`; a text without tables is
+    as it was."""
+    if not tables:
+        return text
 
     def undo(node):
         if isinstance(node, dict):
             if list(node) == ["cols", "rows"]:
+                if not node["cols"]:
+                    return dict(zip(("cols", "rows"), map(undo, node["rows"][0])))
                 return [dict(zip(node["cols"], [undo(v) for v in r])) for r in node["rows"]]
             return {k: undo(v) for k, v in node.items()}
         return [undo(v) for v in node] if isinstance(node, list) else node

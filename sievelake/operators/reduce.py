@@ -26,12 +26,14 @@ MAX_ITEMS, DEPTH = 15, 50
 
 
 def simhash(text: str) -> int:
-    """64-bit SimHash of the character 4-grams of a text in lower case."""
+    """64-bit SimHash of the character 4-grams of a text in lower case; every
+    window votes, and distinct grams are hashed once."""
     low = text.lower()
-    grams = {low[i : i + 4] for i in range(max(1, len(low) - 3))}
+    grams = Counter(low[i : i + 4] for i in range(max(1, len(low) - 3)))
     hashes = b"".join(hashlib.blake2b(g.encode("utf-8", "replace"), digest_size=8).digest() for g in grams)
-    ones = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big")
+    votes = np.fromiter(grams.values(), np.int64, len(grams))
+    ones = votes @ np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+    return int.from_bytes(np.packbits(2 * ones > votes.sum()).tobytes(), "big")
 
 
 def unique_groups(texts: list[str], distance: int = 3) -> int:

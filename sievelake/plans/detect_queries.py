@@ -39,7 +39,7 @@ def q_array_kind(spark, sf):
 
 def q_cell_class(spark, sf):
     d = table(spark, sf, "documents")
-    v = F.when(F.col("doc_id") % 4 == 0, F.base64(F.sha2(F.col("doc_id").cast("string"), 512).cast("binary"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p><b>"), F.col("doc_id").cast("string"), F.lit("</b><i>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise(F.col("text"))
+    v = F.when(F.col("doc_id") % 4 == 0, F.base64(F.sha2(F.col("doc_id").cast("string"), 256).cast("binary"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("<p><b>"), F.col("doc_id").cast("string"), F.lit("</b><i>"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise(F.col("text"))
     return d.select("doc_id", D.cell_class(v).alias("cls")).where("cls is not null")
 
 
@@ -154,10 +154,10 @@ ORACLES = {
     "det_json": _one(_JSON), "det_diff": _one(_DIFF), "det_rust_diff": _one(_DIFF), "det_search": _one(_SEARCH), "det_log": _one(_LOG),
     "det_code": _DET + "SELECT pid, round(c::DOUBLE, 6) AS confidence, lang AS language FROM k0 WHERE c IS NOT NULL",
     "det_array_kind": "SELECT user_id, (['dict_array', 'string_array', 'number_array', 'bool_array', CASE WHEN count(DISTINCT event_id % 2) = 2 THEN 'mixed_array' WHEN max(event_id % 2) = 0 THEN 'number_array' ELSE 'string_array' END])[user_id % 5 + 1] AS kind FROM events GROUP BY user_id",
-    "det_cell_class": """WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'base64' WHEN 2 THEN 'json' END AS fixed, CASE doc_id % 4 WHEN 1 THEN '<p><b>' || doc_id || '</b><i>' WHEN 3 THEN left(text, 300) END AS t FROM documents)
-SELECT doc_id, coalesce(fixed, CASE WHEN regexp_matches(trim(t), '^[\\[{]') AND json_valid(t) THEN 'json'
+    "det_cell_class": """WITH v AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN base64(sha256(doc_id::VARCHAR)::BLOB) WHEN 1 THEN '<p><b>' || doc_id || '</b><i>' WHEN 2 THEN '{"a": ' || doc_id || '}' ELSE text END AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(trim(t), '^[\\[{]') AND json_valid(t) THEN 'json'
   WHEN length(t) >= 64 AND length(regexp_replace(t, '[^A-Za-z0-9+/=]', '', 'g')) >= 0.95 * length(t) AND len(list_distinct(string_split(regexp_replace(t, '=+$', ''), ''))) >= 16 THEN 'base64'
-  WHEN len(regexp_extract_all(t, '<[A-Za-z]')) >= 3 THEN 'html' WHEN strlen(t) > 256 THEN 'long' WHEN t IS NOT NULL THEN 'scalar' END) AS cls FROM v WHERE fixed IS NOT NULL OR t IS NOT NULL""",
+  WHEN len(regexp_extract_all(t, '<[A-Za-z]')) >= 3 THEN 'html' WHEN strlen(t) > 256 THEN 'long' ELSE 'scalar' END AS cls FROM v""",
     "det_strategy_map": _DET + "SELECT pid, CASE content_type WHEN 'json_array' THEN 'smart_crusher' WHEN 'source_code' THEN 'code_aware' WHEN 'build' THEN 'log' ELSE content_type END AS strategy FROM ct",
     "det_min_ratio": "SELECT c_custkey, round(0.85 + 0.10 * least(1.0, greatest(0.0, c_acctbal / 5000.0)), 6) AS min_ratio FROM customer",
     "det_message_disposition": f"""WITH m AS (SELECT *, max(turn) FILTER (contains(text, '[cache]')) OVER (PARTITION BY conv_id) AS mark, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS rest FROM conversations),

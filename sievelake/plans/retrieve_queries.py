@@ -245,7 +245,7 @@ ws AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n <= 350 THEN 1 ELSE ceil((n
 l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS sz FROM documents WHERE text LIKE '%' || chr(10) || '%' AND trim(text) != ''),
 g AS (SELECT doc_id, sz, 1 AS i, sz[1] AS used, 0 AS chunk FROM l UNION ALL SELECT doc_id, sz, i + 1, CASE WHEN used + sz[i + 1] > 2000 THEN sz[i + 1] ELSE used + sz[i + 1] END, CASE WHEN used + sz[i + 1] > 2000 THEN chunk + 1 ELSE chunk END FROM g WHERE i < len(sz))
 SELECT doc_id, 'words' AS unit, chunk, chunk * 300 + 1 AS first, least(chunk * 300 + 350, n) AS last FROM ws UNION ALL SELECT doc_id, 'lines', chunk::BIGINT, min(i)::BIGINT, max(i)::BIGINT FROM g GROUP BY doc_id, chunk""",
-    "srch_numeric_loss": "SELECT event_id, event_id % 3 = 0 AS loss FROM events",
+    "srch_numeric_loss": "WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '123456789012345678901' ELSE event_id::VARCHAR END AS n FROM events) SELECT event_id, n::HUGEINT != n::DOUBLE::HUGEINT AS loss FROM t",
     "srch_substring": f"SELECT doc_id, n_chars FROM documents WHERE contains(lower(text), '{NEEDLE}') ORDER BY n_chars DESC, doc_id LIMIT 15",
     "srch_preview": f"""WITH p AS (SELECT doc_id, text, instr(lower(text), '{NEEDLE}') AS hit FROM documents), q AS (SELECT *, greatest(hit - 40, 1) AS lo FROM p)
 SELECT doc_id, CASE WHEN hit > 0 THEN CASE WHEN lo > 1 THEN '...' ELSE '' END || substr(text, lo, {len(NEEDLE) + 80}) || CASE WHEN lo + {len(NEEDLE) + 79} < length(text) THEN '...' ELSE '' END ELSE substr(text, 1, 80) END AS preview FROM q""",

@@ -39,5 +39,5 @@ def marked_messages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.alias("text"))
 
 
-SQL = f"""store AS (SELECT substr(sha256('doc-' || doc_id), 1, 24) AS hash_key, doc_id, left(text, 400) AS original_content, left(text, 40) AS compressed_content, length(text) // 4 AS original_tokens, length(text) // 40 AS compressed_tokens,
+SQL = f"""store AS (SELECT substr(sha256('doc-' || doc_id), 1, 24) AS hash_key, doc_id, text AS original_content, left(text, 40) AS compressed_content, length(text) // 4 AS original_tokens, length(text) // 40 AS compressed_tokens,
   source AS tool_name, 'ns' || doc_id % 4 AS namespace, {NOW} - (doc_id * 7) % 20000 AS created_at, CASE WHEN doc_id % 5 = 0 THEN 600 ELSE 7200 END AS ttl, CASE WHEN doc_id % 2 = 0 THEN 'smart_crusher' ELSE 'log' END AS compression_strategy, doc_id % 6 AS retrieval_count FROM documents)"""

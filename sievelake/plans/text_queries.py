@@ -289,5 +289,5 @@ SELECT pid, string_agg(t, chr(10) ORDER BY file) AS text FROM bl GROUP BY 1""",
 SELECT pid, file_no, hunk_no FROM (SELECT *, row_number() OVER (PARTITION BY pid, file_no ORDER BY CASE WHEN hunk_no IN (lo, hi) THEN 0 ELSE 1 END, score DESC, hunk_no) AS r FROM a) WHERE r <= 3""",
     "diff_context": _DL + ", n AS (SELECT *, max((kind IN ('add', 'del'))::INT) OVER (PARTITION BY pid, file_no, hunk_no ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nr FROM dl WHERE hunk_no > 0 AND kind != 'hunk') SELECT pid, pos, kind FROM n WHERE nr = 1 OR starts_with(line, chr(92))",
     "det_mixed": _MIX.replace("{P}", P.SQL).replace("{{", "{").replace("}}", "}"),
-    "text_tags": """WITH t AS (SELECT conv_id || '/' || turn AS id, text FROM conversations WHERE text IS NOT NULL) SELECT id, 1::INT AS blocks, TRUE AS restored, (3 + length(' and <b>') + length(substr(text, 31, 40)) + length('</b>'))::INT AS clean_chars FROM t""",
+    "text_tags": """WITH t AS (SELECT conv_id || '/' || turn AS id, text FROM conversations WHERE text IS NOT NULL) SELECT id, 1::INT AS blocks, TRUE AS restored, (3 + length(' and <b>') + length(substr(text, 31)) + length('</b>'))::INT AS clean_chars FROM t""",
 }

@@ -110,3 +110,13 @@ def test_with_ord_does_not_depend_on_partitions(spark):
     df = spark.range(50).selectExpr("id % 3 as c", "50 - id as k")
     a, b = with_ord(df.repartition(7), "c", "k"), with_ord(df.coalesce(1), "c", "k")
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"cols":["a"],"rows":[[1]]}', '[{"cols":1,"rows":[{"a":1},{"a":2}]},{"cols":[],"rows":[]}]', '{"rows":[1],"cols":[]}', '[{"a":1.10},{"a":2}]', '{"a":1,"a":2}', '[{"x":12345678901234567890},{"x":-0.5}]', '[' * 60 + '{"cols":["k"],"rows":[["v"]]}' + ']' * 60],
+)
+def test_documents_with_the_marker_come_back(spark, text):
+    df = spark.createDataFrame([(1, text)], "i int, t string")
+    out = E.compact_document(df, "i", "t").first()
+    assert E.unpack_document(out.compact, out.tables) == text
