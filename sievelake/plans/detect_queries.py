@@ -126,13 +126,13 @@ _LALL = D.any_of((D.LOG_ERROR.replace("(?i)", "(?i:") + ")", D.LOG_WARN.replace(
 _LOG = f"CASE WHEN {_count(_H200, _LALL)} > 0 AND {_count(_H200, _LALL)} / {_FILLED200} >= 0.1 THEN least(1.0, 0.3 + {_count(_H200, _LALL)} / {_FILLED200} * 0.5 + {_count(_H200, _LE)} * 0.05) END"
 _CODES = "list_value(" + ", ".join(f"struct_pack(n := {_count(_H100, D.any_of(p))}, r := {-i}, lang := '{lang}')" for i, (lang, p) in enumerate(D.CODE.items())) + ")"
 _DET = (
-    f"WITH {P.SQL}, cd AS (SELECT pid, list_max({_CODES}) AS b FROM pay), "
-    + f"k0 AS (SELECT pay.pid, pay.content, {_JSON} AS j, {_DIFF} AS d, {_SEARCH} AS s, {_LOG} AS l, CASE WHEN b.n >= 3 THEN least(1.0, 0.4 + b.n / greatest({_FILLED100}, 1) * 0.4 + b.n * 0.02) END AS c, b.lang AS lang, "
+    f"WITH {P.SQL}, cd AS MATERIALIZED (SELECT pid, list_max({_CODES}) AS b FROM pay), "
+    + f"k0 AS MATERIALIZED (SELECT pay.pid, pay.content, {_JSON} AS j, {_DIFF} AS d, {_SEARCH} AS s, {_LOG} AS l, CASE WHEN b.n >= 3 THEN least(1.0, 0.4 + b.n / greatest({_FILLED100}, 1) * 0.4 + b.n * 0.02) END AS c, b.lang AS lang, "
     + "kind FROM pay JOIN cd USING (pid)), "
-    + f"""dl AS (SELECT pid, content, list_filter(string_split(trim(content, ' '), chr(10)), lambda x: trim(x) != '') AS ls, d FROM pay CROSS JOIN (SELECT unnest([',', chr(9), ';']) AS d)),
-ds AS (SELECT pid, d, len(string_split(ls[1], d)) AS n, len(list_filter(list_slice(ls, 1, 200), lambda x: len(string_split(x, d)) = len(string_split(ls[1], d)))) / len(list_slice(ls, 1, 200)) AS ratio, len(ls) AS k, length(content) AS sz, content FROM dl WHERE len(ls) > 0),
+    + f"""dl AS MATERIALIZED (SELECT pid, content, list_filter(string_split(trim(content, ' '), chr(10)), lambda x: trim(x) != '') AS ls, d FROM pay CROSS JOIN (SELECT unnest([',', chr(9), ';']) AS d)),
+ds AS MATERIALIZED (SELECT pid, d, len(string_split(ls[1], d)) AS n, len(list_filter(list_slice(ls, 1, 200), lambda x: len(string_split(x, d)) = len(string_split(ls[1], d)))) / len(list_slice(ls, 1, 200)) AS ratio, len(ls) AS k, length(content) AS sz, content FROM dl WHERE len(ls) > 0),
 dk AS (SELECT *, rank() OVER (PARTITION BY pid ORDER BY ratio DESC, n DESC) AS rk, count(*) OVER (PARTITION BY pid, ratio, n) AS ties FROM ds WHERE n >= 2 AND ratio >= 0.9),
-csv AS (SELECT pid, d FROM dk WHERE rk = 1 AND ties = 1 AND sz >= 200 AND k >= 6 AND NOT regexp_matches(trim(content), '^[\\[{{<]')),
+csv AS MATERIALIZED (SELECT pid, d FROM dk WHERE rk = 1 AND ties = 1 AND sz >= 200 AND k >= 6 AND NOT regexp_matches(trim(content), '^[\\[{{<]')),
 ct AS (SELECT pid, CASE WHEN coalesce(trim(content), '') = '' THEN 'text' WHEN j IS NOT NULL OR kind = 'envelope' THEN 'json_array' WHEN d >= 0.7 THEN 'diff' WHEN s >= 0.6 THEN 'search' WHEN pid IN (SELECT pid FROM csv) THEN 'json_array'
   WHEN l >= 0.5 THEN 'build' WHEN c >= 0.5 THEN 'source_code' ELSE 'text' END AS content_type,
   round(CASE WHEN coalesce(trim(content), '') = '' THEN 0.0 WHEN j IS NOT NULL THEN j WHEN kind = 'envelope' THEN 0.9 WHEN d >= 0.7 THEN d WHEN s >= 0.6 THEN s WHEN pid IN (SELECT pid FROM csv) THEN 0.9 WHEN l >= 0.5 THEN l WHEN c >= 0.5 THEN c ELSE 0.5 END, 6)::DOUBLE AS confidence FROM k0) """
