@@ -1,19 +1,21 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Reference points (pivots) are picked from a bounded sample by farthest-first
-traversal. A vector is described by its ``PREFIX`` nearest pivots in order and
-posted in the inverted lists of the first ``POSTED`` of them. Two vectors of a
-list are candidates when their prefixes share ``SHARED`` pivots or more; their
-cosine in double precision then decides. A pair is judged only in the first of
-the lists that both are in, so each link counts once.
-
-Equal vectors form a class with one row. Lists longer than ``BLOCK`` are split
-into blocks, and a task gets two blocks, never a whole list. A task returns one
-row per linked vector (its links, and the smallest vector of its local group),
-never the pairs.
+traversal. A vector is described by its ``PREFIX`` nearest pivots in order. The
+inverted lists are those of pairs of pivots: a vector is posted in the list of
+each two of its prefix, so that two vectors meet exactly when they share
+``SHARED`` = 2 pivots or more, and lists shorten with the square of the pivots
+that a neighbourhood has. The cosine in double precision then decides. A pair is
+judged only in the list of the two smallest pivots that both share, so each link
+counts once.
+
+Equal vectors form a class with one row, named by its digest. Lists longer than
+``BLOCK`` are split into blocks, and a task gets two blocks, never a whole list.
+A task returns one row per linked vector (its links, and the first vector of its
+local group), never the pairs.
 
 Pivots are as many as the square root of the number of classes, within
-[MIN_PIVOTS, MAX_PIVOTS], so lists grow with the square root, too.
+[MIN_PIVOTS, MAX_PIVOTS].
 """
 
 from __future__ import annotations
@@ -21,15 +23,16 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import components, ready, written
+from sievelake.llm.common import components, drop_written, ready, written
 
-PREFIX, POSTED, SHARED, BLOCK = 8, 5, 2, 2000
+PREFIX, SHARED, BLOCK = 5, 2, 2000
 MIN_PIVOTS, MAX_PIVOTS, SAMPLE_PER_PIVOT = 32, 1024, 8
 
 
@@ -79,69 +82,62 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def post(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Inverted lists: (dim, pivot, rep, cnt, perm, unit), POSTED rows a class.
-    A dimension that the sample lacks has one pivot for all, so its vectors
-    share one list and are all compared."""
+    """Inverted lists: (dim, p, q, sig, cnt, perm, unit), a row for each two
+    pivots p < q of a class's prefix. Where there is one pivot only, or none as
+    the sample lacks the dimension, all vectors share one list (p, q are 0) and
+    are all compared."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors a dimension
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            reps, dims, units, cnts = (c.to_pylist() for c in batch.columns)
+            out: list[list] = [[] for _ in range(7)]
+            sigs, dims, units, cnts = (c.to_pylist() for c in batch.columns)
             for d in sorted(set(dims)):
                 at = [i for i, x in enumerate(dims) if x == d]
                 x = np.frombuffer(b"".join(units[i] for i in at), np.float64).reshape(len(at), d)
                 p = shared.value.get(d)
-                order = np.zeros((len(at), 1), np.int16) if p is None else np.argsort(-(x @ p.T), 1, kind="stable")[:, :PREFIX].astype(np.int16)
-                for i, perm in zip(at, order):
-                    for k in perm[:POSTED]:
-                        for col, value in zip(out, (d, int(k), reps[i], cnts[i], perm.tobytes(), units[i])):
+                near = np.zeros((len(at), 1), np.int16) if p is None else np.argsort(-(x @ p.T), 1, kind="stable")[:, :PREFIX].astype(np.int16)
+                for i, perm in zip(at, np.sort(near, 1)):
+                    for a, b in combinations(perm.tolist(), 2) if len(perm) > 1 else [(0, 0)]:
+                        for col, value in zip(out, (d, a, b, sigs[i], cnts[i], perm.tobytes(), units[i])):
                             col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["dim", "pivot", "rep", "cnt", "perm", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], ["dim", "p", "q", "sig", "cnt", "perm", "unit"])
 
-    return classes.select("rep", "dim", "unit", "cnt").mapInArrow(lists, "dim int, pivot int, rep bigint, cnt bigint, perm binary, unit binary")
+    return classes.select("sig", "dim", "unit", "cnt").mapInArrow(lists, "dim int, p int, q int, sig binary, cnt bigint, perm binary, unit binary")
 
 
 def _links(threshold: float):
     def judge(table: pa.Table) -> pa.Table:
-        dim, pivot = table["dim"][0].as_py(), table["pivot"][0].as_py()
-        i, j = table["bi"][0].as_py(), table["bj"][0].as_py()
-        block = table["block"].to_numpy()
-        rep, cnt = table["rep"].to_numpy(), table["cnt"].to_numpy()
-        order = np.lexsort((rep, block))
-        rep, cnt, block = rep[order], cnt[order], block[order]
-        x = np.frombuffer(b"".join(table["unit"].take(pa.array(order)).to_pylist()), np.float64).reshape(len(rep), dim)
-        perms = [np.frombuffer(p, np.int16) for p in table["perm"].take(pa.array(order)).to_pylist()]
+        dim, p, q, i, j = (table[c][0].as_py() for c in ("dim", "p", "q", "bi", "bj"))
+        sig, block = table["sig"].to_pylist(), table["block"].to_numpy()
+        order = sorted(range(len(sig)), key=lambda k: (block[k], sig[k]))
+        sig, cnt, block = [sig[k] for k in order], table["cnt"].to_numpy()[order], block[order]
+        x = np.frombuffer(b"".join(table["unit"].take(pa.array(order)).to_pylist()), np.float64).reshape(len(sig), dim)
+        perms = np.frombuffer(b"".join(table["perm"].take(pa.array(order)).to_pylist()), np.int16).reshape(len(sig), -1)
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
-        names, inv = np.unique(np.concatenate(perms), return_inverse=True)
-        hot = np.zeros((len(rep), len(names)), np.float32)
-        hot[np.repeat(np.arange(len(rep)), [len(p) for p in perms]), inv] = 1
-        early = np.zeros_like(hot)  # posted lists that come before this one
-        first = np.concatenate([p[:POSTED] for p in perms])
-        own = np.repeat(np.arange(len(rep)), [min(len(p), POSTED) for p in perms])
-        at = np.searchsorted(names, first)
-        early[own[first < pivot], at[first < pivot]] = 1
-        need = min(SHARED, min(len(p) for p in perms))
-        links = np.zeros(len(rep), np.int64)
-        label = np.arange(len(rep))
+        names, at = np.unique(perms, return_inverse=True)
+        early = np.zeros((len(sig), len(names)), np.float32)  # pivots that make an earlier list with p
+        early[np.arange(len(sig))[:, None], at.reshape(perms.shape)] = 1
+        early[:, (names >= q) | (names == p)] = 0
+        links = np.zeros(len(sig), np.int64)
         edges = []
         for lo in range(0, len(left), 512):
             part = left[lo : lo + 512]
             with np.errstate(all="ignore"):
-                good = (hot[part] @ hot[right].T >= need) & (early[part] @ early[right].T == 0)
-                good &= x[part] @ x[right].T >= threshold
+                good = (early[part] @ early[right].T == 0) & (x[part] @ x[right].T >= threshold)
             if i == j:
                 good &= part[:, None] < right[None, :]
             a, b = np.nonzero(good)
             if len(a):
                 a, b = part[a], right[b]
-                links += np.bincount(a, cnt[b], len(rep)).astype(np.int64) + np.bincount(b, cnt[a], len(rep)).astype(np.int64)
+                links += np.bincount(a, cnt[b], len(sig)).astype(np.int64) + np.bincount(b, cnt[a], len(sig)).astype(np.int64)
                 edges.append((a, b))
+        label = np.arange(len(sig))
         if edges:
             a, b = (np.concatenate(e) for e in zip(*edges))
-            while True:  # smallest reachable row, rows being in order of rep
+            while True:  # the first row that is reached
                 new = label.copy()
                 np.minimum.at(new, a, label[b])
                 np.minimum.at(new, b, label[a])
@@ -149,9 +145,8 @@ def _links(threshold: float):
                 if (new == label).all():
                     break
                 label = new
-        some = links > 0
-        hub = np.array([rep[k] for k in label[some]], np.int64)
-        return pa.table({"rep": pa.array(rep[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "hub": pa.array(hub, pa.int64())})
+        some = np.flatnonzero(links)
+        return pa.table({"sig": pa.array([sig[k] for k in some], pa.binary()), "links": pa.array(links[some], pa.int64()), "hub": pa.array([sig[k] for k in label[some]], pa.binary())})
 
     return judge
 
@@ -163,32 +158,42 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
     rows hold. Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing; so do vectors of different dimensions.
     n_links counts other rows linked directly, equal vectors among them.
-    component_id is the smallest id reachable; a row with a null id counts as
-    a link of others but has kept null. An empty table gives no rows.
+    component_id is the smallest id reachable. Ids may be null, which counts as
+    no id but as a row, or repeated with any vectors: links join vectors, not
+    ids. A component without any id has component_id null; kept is null for a
+    null id. Ids are integers (others are cast). An empty table gives no rows.
     """
     ready(rows.sparkSession)
     units = written(unit_vectors(rows, id_col, vec_col), "units")
-    classes = written(units.where("sig is not null").groupBy("sig", "dim").agg(F.coalesce(F.min("vec_id"), F.lit(-(2**62))).alias("rep"), F.count("*").alias("cnt"), F.first("unit").alias("unit")), "classes")
+    classes = written(units.where("sig is not null").groupBy("sig", "dim").agg(F.min("vec_id").alias("least"), F.count("*").alias("cnt"), F.first("unit").alias("unit")), "classes")
     lists = written(post(classes, choose_pivots(classes)), "lists")
-    sizes = lists.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Fewer rows than MAX_PIVOTS**2 / 2 a dimension and than all postings over BLOCK: 16 MB at most.
+    long = lists.groupBy("dim", "p", "q").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     dealt = (
-        lists.join(F.broadcast(sizes), ["dim", "pivot"])  # at most MAX_PIVOTS rows a dimension
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        lists.join(F.broadcast(long), ["dim", "p", "q"], "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("dim", "pivot", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "cnt", "perm", "unit")
+        .select("dim", "p", "q", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sig", "cnt", "perm", "unit")
     )
-    found = written(dealt.groupBy("dim", "pivot", "bi", "bj").applyInArrow(_links(threshold), "rep bigint, links bigint, hub bigint"), "found")
-    labels = components(found.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    class_of = written(
-        classes.select("sig", "rep", "cnt")
-        .join(links, "rep", "left")
-        .join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left")
-        .select("sig", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id")),
-        "class_of",
+    found = written(dealt.groupBy("dim", "p", "q", "bi", "bj").applyInArrow(_links(threshold), "sig binary, links bigint, hub binary"), "found")
+    labels = components(found.select(F.col("sig").alias("a"), F.col("hub").alias("b")))
+    links = found.groupBy("sig").agg(F.sum("links").alias("links"))
+    member = written(
+        classes.select("sig", "least", "cnt")
+        .join(links, "sig", "left")
+        .join(labels.select(F.col("v").alias("sig"), "label"), "sig", "left")
+        .select("sig", "least", F.coalesce("label", "sig").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links")),
+        "member",
     )
-    return units.select("vec_id", "sig").join(class_of, "sig", "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    named = member.groupBy("label").agg(F.min("least").alias("component_id"))
+    class_of = written(member.join(named, "label").select("sig", "n_links", "component_id"), "class_of")
+    for done in (lists, found, member):
+        drop_written(done)
+    component = F.when(F.col("sig").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return (
+        units.select("vec_id", "sig")
+        .join(class_of, "sig", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"))
+        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    )

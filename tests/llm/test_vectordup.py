@@ -58,3 +58,35 @@ def test_recall_on_the_table(spark, sf):
     links = sum(n for n, *_ in want.values())
     assert sum(min(got[i][0], want[i][0]) for i in want) >= 0.9 * links  # recall
     assert all(got[i][0] <= want[i][0] for i in want)  # nothing below the threshold
+
+
+def test_null_and_repeated_ids(spark):
+    near = lambda x, y: [x, y, 0.0, 0.0]
+    rows = [(5, near(1.0, 0.05), 0), (None, near(1.0, 0.0), 0), (6, [0.0, 0.0, 1.0, 0.05], 0), (None, [0.0, 0.0, 1.0, 0.0], 0)]
+    rows += [(9, [1.0, -1.0, 1.0, -1.0], 0), (9, [1.0, 1.0, 1.0, 1.0], 0), (8, [1.0, 1.0, 1.0, 1.01], 0)]  # one id, two vectors
+    rows += [(None, [-1.0, 1.0, 1.0, 1.0], 0), (None, [-1.0, 1.0, 1.0, 1.0], 0)]  # a component without ids
+    got = vectordup.near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [(5, 1, 5, True), (None, 1, 5, None), (6, 1, 6, True), (None, 1, 6, None), (9, 0, 9, True), (9, 1, 8, False), (8, 1, 8, True), (None, 1, None, None), (None, 1, None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_recall_of_links_and_components_near_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(700):
+        x = rng.normal(size=64)
+        x /= np.linalg.norm(x)
+        rows.append(x)
+        for c in rng.uniform(0.9501, 0.97, int(rng.integers(0, 4))):
+            z = rng.normal(size=64)
+            z -= (z @ x) * x
+            rows.append(c * x + np.sqrt(1 - c * c) * z / np.linalg.norm(z))
+    rows = [(i, [float(np.float32(v)) for v in x], 0) for i, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want, got = brute(rows), found(vectordup.near_duplicate_vectors(df))
+    links = sum(n for n, *_ in want.values())
+    assert links > 1000 and all(got[i][0] <= want[i][0] for i in want)
+    recall = sum(got[i][0] for i in want) / links
+    same = sum(got[i][1] == want[i][1] for i in want) / len(want)
+    print(recall, same)
+    assert recall >= 0.97 and same >= 0.95
