@@ -113,13 +113,16 @@ SELECT p.page_id, p.host, p.path, m.t AS rule, coalesce(m.v, 'allow') AS verdict
     "op8_mixing": r"""
 WITH sizes AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY 1),
 w AS (SELECT source, size, sqrt(size) AS weight FROM sizes),
-r AS (SELECT source, CASE WHEN size > 0 THEN least(32.0, 1.0 * weight / (SELECT sum(weight) FROM w) * (SELECT sum(size) FROM w) / size) ELSE 0.0 END AS rate FROM w),
-u AS (SELECT d.*, r.rate, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
-  FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-t AS (SELECT source, rate, unnest(range(0, 96)) AS k FROM r),
-c AS (SELECT source, k, sum(exp(-rate + CASE WHEN k > 0 THEN k * ln(rate) - lgamma(k + 1) ELSE 0 END)) OVER (PARTITION BY source ORDER BY k) AS c FROM t WHERE rate > 0),
-n AS (SELECT u.*, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.c <= u.u) AS n FROM u WHERE rate > 0),
-e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n)) AS copy_no FROM n WHERE n > 0)
+r AS (SELECT source, CASE WHEN size > 0 THEN 1.0 * weight / (SELECT sum(weight) FROM w) * (SELECT sum(size) FROM w) / size ELSE 0.0 END AS rate FROM w),
+q AS (SELECT source, greatest(1, ceil(rate / 32))::BIGINT AS parts, rate / greatest(1, ceil(rate / 32)) AS mean FROM r WHERE rate > 0),
+d AS (SELECT *, row_number() OVER () AS row_no FROM documents),
+u AS (SELECT row_no, source, ('0x' || substr(md5(CASE WHEN parts > 1 THEN 'part17:' || part ELSE '17' END || ':' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  FROM (SELECT row_no, doc_id, d.source, parts, unnest(range(1, parts + 1)) AS part FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)),
+t AS (SELECT source, mean, unnest(range(0, 96)) AS k FROM q),
+c AS (SELECT source, k, sum(exp(-mean + CASE WHEN k > 0 THEN k * ln(mean) - lgamma(k + 1) ELSE 0 END)) OVER (PARTITION BY source ORDER BY k) AS c FROM t),
+l AS (SELECT source, list(c ORDER BY k) AS c FROM c GROUP BY 1),
+n AS (SELECT row_no, sum(len(list_filter(l.c, lambda x: x <= u.u))) AS n FROM u JOIN l ON u.source IS NOT DISTINCT FROM l.source GROUP BY 1),
+e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n::BIGINT)) AS copy_no FROM d JOIN n USING (row_no) WHERE n > 0)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy_no AS BIGINT) AS copy_no,
   ('0x' || substr(md5('order17:' || coalesce(doc_id::VARCHAR, '') || ':' || copy_no), 1, 15))::BIGINT AS mix_key FROM e
 """,

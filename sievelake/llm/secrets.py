@@ -18,6 +18,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,35 +69,40 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], reach: int = 160)
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not ids and not ends:
         return []
-    taken = [(a, b) for a, b, _ in base]
-    weak = []
-    for m in WEAK.finditer(text):
-        if _mixed(m[0]) and not _meets(taken, m.start(), m.end()) and not _meets(ends, m.start(), m.end()):
-            weak.append(m.span())
+    taken = Intervals([(a, b) for a, b, _ in base] + ends)
+    weak = [m.span() for m in WEAK.finditer(text) if _mixed(m[0]) and not taken.meet(*m.span())]
     strong = [(a, b) for a, b, k in base if k != "access"]
     breaks = [m.start() for m in SCOPE_BREAK.finditer(text)]
     scope = lambda at: bisect_left(breaks, at)
 
-    def near(span: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        return any(scope(a) == scope(span[0]) for a, b in _within(others, span[0] - reach, span[1] + reach))
-
-    found = [(a, b, "weak") for a, b in weak if near((a, b), ids) or near((a, b), ends)]
-    secrets = sorted(strong + [(a, b) for a, b, _ in found])
-    found += [(a, b, "endpoint") for a, b in ends if near((a, b), secrets) and near((a, b), ids)]
+    def joined_with(others: list[tuple[int, int]]):
+        by_scope: dict[int, list] = {}
+        for span in others:
+            by_scope.setdefault(scope(span[0]), []).append(span)
+        sides = {k: Intervals(v) for k, v in by_scope.items()}
+        none = Intervals([])
+        return lambda a, b: sides.get(scope(a), none).meet(a - reach, b + reach)
+
+    by_id, by_end = joined_with(ids), joined_with(ends)
+    found = [(a, b, "weak") for a, b in weak if by_id(a, b) or by_end(a, b)]
+    by_secret = joined_with(strong + [(a, b) for a, b, _ in found])
+    found += [(a, b, "endpoint") for a, b in ends if by_secret(a, b) and by_id(a, b)]
     return found
 
 
-def _within(spans: list[tuple[int, int]], lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Of sorted spans that don't overlap much: those that meet [lo, hi)."""
-    i = max(0, bisect_left(spans, (lo, -1)) - 2)
-    while i < len(spans) and spans[i][0] < hi:
-        if spans[i][1] > lo:
-            yield spans[i]
-        i += 1
+class Intervals:
+    """One side of an interval join: spans by start, with the furthest end so
+    far, which tells at once whether any span meets another."""
 
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.furthest = list(accumulate((b for _, b in spans), max))
 
-def _meets(spans: list[tuple[int, int]], a: int, b: int) -> bool:
-    return next(_within(spans, a, b), None) is not None
+    def meet(self, lo: int, hi: int) -> bool:
+        """Whether a span starts before ``hi`` and ends behind ``lo``."""
+        i = bisect_left(self.starts, hi)
+        return i > 0 and self.furthest[i - 1] > lo
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

@@ -23,3 +23,16 @@ def test_counts_of_large_means(spark):
     r = df.withColumn("k", mixing.poisson_count(F.col("m"), 17, F.col("id"))).groupBy("m").agg(F.avg("k").alias("mean"), F.var_samp("k").alias("var")).collect()
     for x in r:
         assert abs(x["mean"] - x.m) < 4 * (x.m / 1500) ** 0.5 and abs(x["var"] / x.m - 1) < 0.2
+
+
+def test_sql_of_the_query_at_rates_beyond_one_draw(spark, tmp_path):
+    import duckdb
+    from sievelake.llm import queries
+
+    rows = [(i, "x" * 200, "en", "hot", 200) for i in range(1500)] + [(9000 + i, "y" * 10, "en", "small", 10) for i in range(3)] + [(9000, "y" * 10, "en", "small", 10), (9100, None, None, None, 0), (None, "zz", "de", None, 2)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_mixing(spark, str(tmp_path)).select("doc_id", "source", "copy_no", "mix_key").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"select doc_id, source, copy_no, mix_key from ({queries.ORACLE_SQL['op8_mixing']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) > 1700
