@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from sievelake.llm import lm, queries
 
 SCHEMA = "doc_id bigint, text string"
@@ -62,20 +63,58 @@ def test_small_cases(spark):
     same(lm.score_documents(df).collect(), brute(rows))
     strength = ((5.0, 0.5), (2.0, 1.0))
     same(lm.score_documents(df, order=3, strength=strength, buckets=7).collect(), brute(rows, 3, strength))
+    strength = ((5.0, 0.5), (2.0, 1.0), (0.5, 1.5))
+    same(lm.score_documents(df, order=4, strength=strength).collect(), brute(rows, 4, strength))
     assert lm.score_documents(df.limit(0)).collect() == []
 
 
 def test_packing_round_trips():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     for n in (1, 2, 500):
-        keys = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        keys = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
         assert (lm.unpacked_keys(lm.packed_keys(keys)) == keys).all()
     near = np.arange(10**6, 10**6 + 300, dtype=np.uint64)
     assert (lm.unpacked_keys(lm.packed_keys(near)) == near).all()
-    for c in ([0], [255, 1], [256], [1 << 40, 3]):
-        assert lm.unpacked_counts(lm.packed_counts(np.array(c))).tolist() == c
+    for c in ([0], [255, 1], [256], [1 << 40, 3], [(1 << 64) - 1]):
+        assert lm.unpacked(lm.packed(np.array(c, np.uint64), 8), 8).tolist() == c
+
+
+def walk(model, words, sizes):
+    """The automaton read one word at a time, arcs looked up in dictionaries."""
+    arcs = [{int(k): (w, d) for k, w, d in zip(*a)} for a in model.arcs]
+    level = lambda s: sum(s >= b for b in model.base.tolist()) - 1
+    out, at = [], 0
+    for n in sizes:
+        state = model.start()
+        for w in words[at : at + n]:
+            weight = 0.0
+            while True:
+                k = level(state)
+                key = (state - int(model.base[k])) * model.kinds + int(w)
+                if key in arcs[k]:
+                    weight, state = weight + arcs[k][key][0], int(arcs[k][key][1])
+                    break
+                weight, state = weight + model.fail_weight[state], int(model.fail[state])
+            out.append(weight)
+        at += n
+    return out
+
+
+def test_texts_side_by_side_are_read_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 12, n)).encode() for n in (0, 1, 2, 3, 40, 7, 90, 33)]
+    hashes = [lm.words_of(t) for t in texts]
+    types, words = np.unique(np.concatenate(hashes), return_inverse=True)
+    sizes = np.array([len(h) for h in hashes])
+    for order in (2, 3, 4):
+        every = lm.grams(words, types, sizes, order)
+        train = np.repeat([True, False, True, True, True, True, False, True], sizes)
+        counts = [np.bincount(g.ends, train, len(g.keys)).astype(np.int64) for g in every]
+        model = lm.Automaton(every, counts, 6, int(train.sum()), int((counts[0] > 0).sum()), ((4.0, 2.0), (1.0, 1.0), (1.0, 0.5)))
+        want = walk(model, words, sizes)
+        for run in (1, 5, 512):
+            monkeypatch.setattr(lm, "RUN", run)
+            assert np.allclose(model.read(words, sizes), want, rtol=1e-12)
 
 
 def test_counts_over_255_and_long_texts(spark):
