@@ -42,7 +42,7 @@ ORDER = 3
 #: (a_n, b_n) for n = 2, 3, ...: how much evidence the shorter context is worth.
 STRENGTH = ((4.0, 2.0), (1.0, 1.0))
 #: Bytes of text in a block; bounds the memory of every Python step.
-BLOCK_BYTES = 14_000_000
+BLOCK_BYTES = 8_000_000
 #: Words that the automaton reads in one go; a longer text goes on in the state
 #: that its words before leave.
 RUN = 512

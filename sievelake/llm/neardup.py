@@ -5,7 +5,7 @@ A document is its set of distinct k-word shingles. A sketch holds, for each of
 set: registers are mergeable (the sketch of a union is the maximum) and two
 sets share a register with a probability that grows with their similarity.
 
-1. Equal sets form a class with one representative, so copies cost one row.
+1. Equal sets form a class with a number of its own, so copies cost one row.
 2. Eight registers make a band; classes that share a band meet. Within a band's
    bucket each class is paired with the smallest, not with all others.
 3. Registers of a pair, given the known set sizes, have a likelihood in the
@@ -14,7 +14,9 @@ sets share a register with a probability that grows with their similarity.
 5. Buckets that still hold several components are looked at again, with the full
    sets of their members: between two components, the pairs that the likelihood
    allows are confirmed in the order of their estimates until one is a link.
-   Two components need one link only, and only links leave a task.
+   Two components need one link only, and only links leave a task. Members of a
+   bucket's largest component are compared with the others only, so a bucket
+   costs its size times the blocks of those others.
 
 A pair of similarity 0.8 shares no band with a probability of 8e-6.
 """
@@ -200,12 +202,16 @@ def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_c
             full = [shingles(raw, width).tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(full, pa.binary())], ["v", "set"])
 
-    wanted = written(reps.distinct(), "wanted")
+    wanted = written(classes.join(reps.distinct(), classes["rep"] == F.col("v"), "left_semi").select("rep", "least", "sig"), "wanted")
+    ids = wanted.select(F.col("least").alias("v")).distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("v"), F.col(text_col).cast("binary").alias("raw"))
-    looked_up = F.broadcast(wanted) if wanted.count() <= LOOKUP_IDS else wanted
+    looked_up = F.broadcast(ids) if wanted.count() <= LOOKUP_IDS else ids
     # An id may be repeated with another text: only the class's own set counts.
-    own = classes.select(F.col("rep").alias("v"), "sig")
-    return written(texts.join(looked_up, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set"))).join(own, ["v", "sig"], "left_semi").groupBy("v").agg(F.first("set").alias("set")), "sets")
+    full = texts.join(looked_up, "v", "left_semi").mapInArrow(sets, "v bigint, set binary").withColumn("sig", F.unhex(F.md5("set")))
+    out = written(full.join(wanted.select("rep", "sig"), "sig").groupBy("rep").agg(F.first("set").alias("set")).withColumnRenamed("rep", "v"), "sets")
+    drop_written(wanted)
+    return out
+
 
 def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of representatives whose full sets reach the threshold."""
@@ -224,9 +230,9 @@ def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return out
 
 
-#: Members of a bucket that a task compares with as many others; larger buckets
-#: are split into blocks, and a task gets two.
-BLOCK = 2000
+#: Members of a bucket, and shingles of all of them, that a task compares with as
+#: many others; larger buckets are split into blocks, and a task gets two.
+BLOCK, BLOCK_SHINGLES = 2000, 8_000_000
 
 
 def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -238,31 +244,28 @@ def _reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _between(percent: int):
-    """For one bucket (or two of its blocks): links between components, at most
-    one between two of them, by the best estimates first. A pair is looked at in
-    the first band that it shares only."""
+    """For a block of a bucket's others (outside its largest component) and a
+    block of all members: links between components, at most one between two of
+    them, by the best estimates first. A pair is looked at in the first band that
+    it shares only, and of two others by the first of them."""
 
     def choose(table: pa.Table) -> pa.Table:
         i, j, band = (table[c][0].as_py() for c in ("bi", "bj", "band"))
-        rep, label, n, block = (table[c].to_numpy() for c in ("rep", "label", "n", "block"))
+        rep, label, n, other, block = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "label", "n", "other", "block"))
         order = np.lexsort((rep, label))
-        rep, label, n, block = rep[order], label[order], n[order].astype(np.float64), block[order]
+        rep, label, n, other, block = rep[order], label[order], n[order].astype(np.float64), other[order], block[order]
         regs = np.frombuffer(b"".join(table["regs"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
         bands = regs.view(np.uint64)
         names, group = np.unique(label, return_inverse=True)
-        largest = np.bincount(group).argmax()
-        rows = np.flatnonzero(group != largest)  # the largest component against itself is known
-        main = group == largest
+        rows, partners = np.flatnonzero(other == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, len(rows), 32):
             part = rows[lo : lo + 32]
-            # Each pair once: against the largest component, and later rows.
-            ok = (group[part][:, None] != group[None, :]) & (main[None, :] | (np.arange(len(rep))[None, :] > part[:, None]))
-            ok &= 100 * np.minimum(n[part][:, None], n[None, :]) >= percent * np.maximum(n[part][:, None], n[None, :])
-            if i != j:
-                ok &= block[part][:, None] != block[None, :]
+            # Each pair once: against the largest component, and others behind.
+            ok = (group[part][:, None] != group[None, partners]) & ((other[partners] < 0)[None, :] | (rep[None, partners] > rep[part][:, None]))
+            ok &= 100 * np.minimum(n[part][:, None], n[None, partners]) >= percent * np.maximum(n[part][:, None], n[None, partners])
             a, b = np.nonzero(ok)
-            a = part[a]
+            a, b = part[a], partners[b]
             for k in range(0, len(a), 20_000):
                 x, y = a[k : k + 20_000], b[k : k + 20_000]
                 first = (bands[x] == bands[y]).argmax(1) == band
@@ -301,23 +304,42 @@ def _between(percent: int):
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, band, rep, n, label) of buckets with more than one component."""
+    """Members (key, band, rep, n, label) of buckets with more than one component,
+    with the largest one's label and how many blocks all members and those
+    outside it make."""
     placed = written(met.join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("key", "band", "rep", "n", F.coalesce("label", "rep").alias("label")), "placed")
-    several = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    return written(placed.join(several, "key"), "mixed")
+    parts = placed.groupBy("key", "label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    largest = F.max(F.struct("m", "s", "label"))
+    blocks = lambda m, s: F.ceil(F.greatest(m / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    several = (
+        parts.groupBy("key")
+        .agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.sum("s").alias("s"), largest.alias("top"))
+        .where("k > 1")
+        .select("key", F.col("top.label").alias("main"), blocks(F.col("m"), F.col("s")).alias("blocks"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("others"))
+    )
+    out = written(placed.join(several, "key"), "mixed")
+    drop_written(placed)
+    return out
 
 
 def _links_between(mixed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     full = _sets(mixed.select(F.col("rep").alias("v")), classes, docs, width, id_col, text_col)
     members = written(full.select(F.col("v").alias("rep"), "set").join(classes.select("rep", "regs"), "rep"), "members")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    part = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    is_other = F.col("label") != F.col("main")
+    row = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("bi"), F.col("block").alias("bj")))
+    column = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("other").alias("bi"), j.alias("bj")))
     dealt = (
-        mixed.withColumn("block", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "rep", "n", "label")
+        mixed.withColumn("block", part("blocks"))
+        .withColumn("other", F.when(is_other, part("others")).otherwise(-1))
+        .withColumn("at", F.explode(F.when(is_other, F.array_union(row, column)).otherwise(row)))
+        .select("key", "at.bi", "at.bj", "band", "block", "other", "rep", "n", "label")
         .join(members, "rep")
     )
-    return written(dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent), "a bigint, b bigint"), "between")
+    out = written(dealt.groupBy("key", "bi", "bj").applyInArrow(_between(percent), "a bigint, b bigint"), "between")
+    drop_written(full)
+    drop_written(members)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -327,20 +349,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets of ``width``-word shingles. component_id is the smallest id reachable
     and kept says whether it is the row's own. A null text or one without words
     has an empty set, is linked with nothing and is kept. Repeated rows are in
-    one component; a row with a null id takes part only through others' ids and
-    has kept null. Other columns are ignored; an empty table gives no rows.
+    one component, and an id that is repeated with other texts names each of
+    them. A row with a null id takes part only through others' ids and has kept
+    null; ids are integers (others are cast). Other columns are ignored; an
+    empty table gives no rows.
     """
     ready(docs.sparkSession)
     sketches = written(sketch_documents(docs, id_col, text_col, width), "sketches")
-    classes = written(
-        sketches.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")),
+    classes = written(  # written with their numbers, which stay the same from here on
+        sketches.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("regs").alias("regs")).withColumn("rep", F.monotonically_increasing_id()),
         "classes",
     )
-    from pyspark.sql import Window
-
-    bucket = Window.partitionBy("key")
+    bands = _bands(classes)
     # Only buckets of two or more are kept: few rows.
-    met = written(_bands(classes).withColumn("least", F.min("rep").over(bucket)).withColumn("most", F.max("rep").over(bucket)).where("least != most").drop("most"), "met")
+    several = bands.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least != most").drop("most")
+    met = written(bands.join(several, "key"), "met")
     stars = met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_likely(stars, classes, percent), classes, docs, width, percent, id_col, text_col)
     labels = components(links)
@@ -349,7 +372,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = _links_between(mixed, classes, docs, width, percent, id_col, text_col)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
-    class_of = written(classes.select("sig", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("component_id")), "class_of")
+    member = classes.select("sig", "least", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("sig", "least", F.coalesce("label", "rep").alias("label"))
+    member = written(member, "member")
+    class_of = written(member.join(member.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("sig", "component_id"), "class_of")
+    for done in (met, mixed, links, member):
+        drop_written(done)
     return (
         sketches.select("doc_id", "n", "sig")
         .join(class_of, "sig", "left")
@@ -358,14 +385,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's: all rows that repeat
-    that id stay, and rows with a null id stay. :func:`one_per_group` leaves one
-    row of each group."""
-    found = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col("doc_id").alias("_sl_id")).distinct()
-    return docs.join(found, F.col(id_col).cast("bigint") == F.col("_sl_id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates: the smallest id's, a null id
     last, and of rows that repeat it the least by a digest of all columns.

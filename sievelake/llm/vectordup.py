@@ -108,7 +108,11 @@ def post(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _links(threshold: float):
+    none = pa.table({"sig": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "hub": pa.array([], pa.binary())})
+
     def judge(table: pa.Table) -> pa.Table:
+        if len(table) < 2:
+            return none
         dim, p, q, i, j = (table[c][0].as_py() for c in ("dim", "p", "q", "bi", "bj"))
         sig, block = table["sig"].to_pylist(), table["block"].to_numpy()
         order = sorted(range(len(sig)), key=lambda k: (block[k], sig[k]))

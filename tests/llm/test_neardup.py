@@ -63,7 +63,29 @@ def test_edge_cases(spark):
     assert sorted((r.component_id for r in out)) == [1, 1, 1, 1] and len(out) == 4
     assert {r.kept for r in out if r.doc_id == 1} == {True}
     assert {r.kept for r in out if r.doc_id is None} == {None}
-    assert sorted(map(tuple, neardup.keep_one(df, width=2).collect()), key=str) == sorted([(1, "A b\nc", 2), (1, "a b c", 3), (None, "a b c", 4)], key=str)
+    assert [r.doc_id for r in neardup.one_per_group(df, width=2).collect()] == [1]
+
+
+def test_one_id_with_several_texts(spark):
+    """Links join texts, not ids: each class keeps its own name."""
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    near = lambda w, k: " ".join([*w[:-1], f"z{k}"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(a, 1)), (6, near(b, 2)), (7, near(b, 3)), (7, "something else entirely")]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), width=2).collect()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in out)
+    assert got == [(1, 39, 1, True), (1, 39, 1, True), (5, 39, 1, False), (6, 39, 1, False), (7, 2, 7, True), (7, 39, 1, False)]
+
+
+def test_blocks_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 300)
+    rng = random.Random(9)
+    rows = []
+    for n in range(40):
+        w = [f"b{i}" for i in range(60 + n // 3)]
+        for i in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            w[i] = f"n{n}x{i}"
+        rows.append((n, " ".join(w)))
+    assert found(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=2)) == brute(rows)
 
 
 def test_long_text(spark):
