@@ -10,9 +10,9 @@ Shards have names of their own attempt, and the manifest is a table committed
 by Spark: rows point only to shards of attempts that ended, so a lost executor
 leaves at most an unreferenced file behind.
 
-``read_headers`` fills columns (width, height, depth) by range reads of the
-header bytes; ``read_features`` reads whole payloads by their ranges and is what
-:func:`media_columns` uses, width and height included.
+Rows carry digest, shard, offset and length. ``read_headers`` fills metadata
+columns (width, height, depth) by range reads of the header bytes alone;
+``read_features`` reads whole payloads by their ranges, for what needs them.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 4) -> bytes:
     """8-bit grey picture, 64 samples a line, filter 0: the samples are the
     payload's bytes in order."""
     lines = len(payload) // WIDTH
@@ -62,10 +62,14 @@ def png_size(head: bytes) -> tuple[int, int, int]:
 
 
 def from_png(data: bytes) -> bytes:
-    """The samples of a picture that :func:`to_png` made."""
+    """The samples of a picture that :func:`to_png` made; a chunk whose checksum
+    is wrong is an error."""
     at, idat = 8, b""
     while at < len(data):
         (n,) = struct.unpack(">I", data[at : at + 4])
+        (crc,) = struct.unpack(">I", data[at + 8 + n : at + 12 + n])
+        if zlib.crc32(data[at + 4 : at + 8 + n]) != crc:
+            raise ValueError("a PNG chunk is damaged")
         if data[at + 4 : at + 8] == b"IDAT":
             idat += data[at + 8 : at + 8 + n]
         at += 12 + n
@@ -148,7 +152,7 @@ def addresses(manifest: DataFrame) -> DataFrame:
 
 
 def _ranged(places: DataFrame, read, schema: str) -> DataFrame:
-    """Run ``read(file, offset, length)`` for each place, shard by shard and in
+    """Run ``read(file, digest, offset, length)`` for each place, shard by shard and in
     the order of offsets."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +165,7 @@ def _ranged(places: DataFrame, read, schema: str) -> DataFrame:
                         file.close()
                     fs, path = _filesystem(shard)
                     name, file = shard, fs.open_input_file(path)
-                rows.append((digest, *read(file, offset, length)))
+                rows.append((digest, *read(file, digest, offset, length)))
             cols = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
         if file is not None:
@@ -177,7 +181,7 @@ def _ranged(places: DataFrame, read, schema: str) -> DataFrame:
 def read_headers(places: DataFrame) -> DataFrame:
     """(digest, width, height, depth), reading HEADER_BYTES of each payload."""
 
-    def head(file, offset: int, length: int) -> tuple:
+    def head(file, digest: str, offset: int, length: int) -> tuple:
         file.seek(offset)
         return png_size(file.read(min(HEADER_BYTES, length)))
 
@@ -186,23 +190,29 @@ def read_headers(places: DataFrame) -> DataFrame:
 
 def read_features(places: DataFrame) -> DataFrame:
     """Features of each stored payload, from the bytes read back: payload_bytes,
-    payload_sha256, tail_crc32, media_bytes, media_sha256, width, height and
-    feature. A payload whose digest differs from its address fails the job."""
+    payload_sha256, tail_crc32, media_bytes, media_sha256 and feature. A payload
+    whose digest differs from its address fails the job."""
 
-    def whole(file, offset: int, length: int) -> tuple:
+    def whole(file, digest: str, offset: int, length: int) -> tuple:
         file.seek(offset)
         media = file.read(length)
-        width, height, _ = png_size(media[:HEADER_BYTES])
         payload = from_png(media)
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), width, height, feature_of(payload))
+        found = hashlib.sha256(payload).hexdigest()
+        if found != digest:
+            raise ValueError(f"payload {digest} reads back as {found}")
+        return (len(payload), found, zlib.crc32(payload[-64:]), length, hashlib.sha256(media).hexdigest(), feature_of(payload))
 
-    return _ranged(places, whole, "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width bigint, height bigint, feature string")
+    return _ranged(places, whole, "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """Store all payloads and return, per row of ``docs``, id, digest, n_bytes
-    and the columns of :func:`read_features`."""
+    """Store all payloads and return, per row of ``docs``, id, n_bytes, the
+    columns of :func:`read_features`, the address (digest, shard, offset,
+    length) and the metadata of :func:`read_headers`. For rows that are null,
+    empty, long or repeated see :func:`store_payloads`."""
     manifest = store_payloads(docs, id_col, text_col, folder)
-    places = addresses(manifest)
+    places = written(addresses(manifest), "places")
     rows = manifest.select(id_col, "digest", "n_bytes")
-    return rows.join(read_features(places), "digest")
+    found = places.join(read_headers(places), "digest").join(read_features(places), "digest")
+    features = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return rows.join(found, "digest").select(id_col, "n_bytes", *features, "digest", "shard", "offset", "length", "width", "height", "depth")

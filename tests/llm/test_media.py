@@ -3,6 +3,7 @@ import io
 import tarfile
 import zlib
 
+from pyspark.sql import functions as F
 from sievelake.llm import media
 
 SCHEMA = "doc_id bigint, text string"
@@ -42,3 +43,38 @@ def test_shards_are_tars_and_headers_are_read(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA + ", digest int")
     assert media.media_columns(df).collect() == []
+
+
+def test_feature_by_plain_numbers():
+    import numpy as np
+
+    for raw in (b"\0" * 64, bytes(range(256)), b"some text, " * 30 + b"\0" * 22):
+        x = np.frombuffer(raw, np.uint8).astype(float)
+        bins = ",".join(str(int(1000 * ((x >= 32 * k) & (x < 32 * k + 32)).sum() // len(x))) for k in range(8))
+        mean, spread, hist = media.feature_of(raw).split("|")
+        assert abs(float(mean) - x.mean()) < 1e-3 and abs(float(spread) - x.std()) < 1e-3 and hist == bins
+
+
+def test_damaged_payloads_fail(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, "abc" * 100), (2, "other " * 50)], SCHEMA).coalesce(1)
+    places = media.addresses(media.store_payloads(df, folder=f"file://{tmp_path}/shards"))
+    (shard,) = (tmp_path / "shards").iterdir()
+    at = places.first()
+    data = bytearray(shard.read_bytes())
+    data[at.offset + 50] ^= 1
+    shard.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="damaged|reads back"):
+        media.read_features(places).collect()
+    swapped = places.withColumn("digest", F.lit("0" * 64))
+    with pytest.raises(Exception, match="damaged|reads back"):
+        media.read_features(swapped).collect()
+
+
+def test_contract_comes_first(spark, sf):
+    from sievelake.llm import queries
+
+    out = queries.op2_media_columns(spark, sf)
+    assert out.columns[:8] == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    assert out.where("offset % 512 != 0 or length != media_bytes or width != 64 or 64 * height != payload_bytes or depth != 8").count() == 0
