@@ -5,11 +5,14 @@ loss. Pieces go, longest first, into the open sequence with the least room that
 still holds them; a segment tree over capacities finds that room in logarithmic
 time. Each task packs its own documents in blocks of bounded size, so ids are
 never shuffled, and a lost executor costs its tasks only. Padding per block is
-what its last few sequences leave.
+what its last few sequences leave. Sequences are written as binary matrices of
+ids; a manifest has their segment lengths and position resets.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievelake.llm.common import ready
+from sievelake.llm.common import ready, shared_folder, written
 from sievelake.llm.tokens import WordTokenizer, default_tokenizer
 
 #: Tokens that a task packs together; bounds its memory (2 bytes a token).
@@ -83,14 +86,15 @@ SCHEMA = "sequence_id bigint, n_tokens int, ids binary, cu_seqlens array<int>, d
 
 def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Packed sequences: sequence_id, n_tokens, ids (little-endian unsigned, of
-    16 bits while the vocabulary allows, else 32; padded with 0 to ``length``), cu_seqlens (segment borders, from 0 to
-    n_tokens), doc_ids and starts (per segment: its document and how many of
-    that document's ids come before) and position_resets (per segment the first
-    position id: 0 for a document's head, ``start`` for a continuation).
+    16 bits while the vocabulary allows, else 32; padded with 0 to ``length``),
+    cu_seqlens (segment borders, from 0 to n_tokens), doc_ids and starts (per
+    segment: its document and how many of that document's ids come before) and
+    position_resets (the borders where position ids start again from 0, a
+    document's first id; a segment that continues one goes on from its start).
 
     Null and empty texts are the end id alone. Every id of every row lies in
-    exactly one segment; repeated rows are packed again. A null id stays null.
-    An empty table gives no sequences. sequence_id is unique, not gapless.
+    exactly one segment; repeated rows are packed again. A null id stays null;
+    ids are integers (others are cast). An empty table gives no sequences. sequence_id is unique, not gapless.
     """
     ready(docs.sparkSession)
     path = tokenizer or default_tokenizer()
@@ -108,7 +112,7 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", t
                 row[borders[-1] : borders[-1] + n] = ids[d][s : s + n]
                 borders.append(borders[-1] + n)
             starts = [pieces[m][1] for m in members]
-            for col, value in zip(cols, (first + k, borders[-1], row.tobytes(), borders, [owners[pieces[m][0]] for m in members], starts, starts)):
+            for col, value in zip(cols, (first + k, borders[-1], row.tobytes(), borders, [owners[pieces[m][0]] for m in members], starts, [b for b, s in zip(borders, starts) if not s])):
                 col.append(value)
         types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sequence_id", "n_tokens", "ids", "cu_seqlens", "doc_ids", "starts", "position_resets"])
@@ -137,30 +141,38 @@ def pack_best_fit(docs: DataFrame, length: int = 2048, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(pack, SCHEMA)
 
 
-def write_matrices(packed: DataFrame, folder: str, length: int = 2048) -> DataFrame:
+PLACE = "sequence_id bigint, n_tokens int, cu_seqlens array<int>, doc_ids array<bigint>, starts array<bigint>, position_resets array<int>, file string, row bigint, id_bytes int, ids_crc32 bigint"
+
+
+def write_matrices(packed: DataFrame, folder: str | None = None, length: int = 2048) -> DataFrame:
     """Write each partition's sequences as one raw matrix of little-endian
     unsigned ids (rows of ``length``, ``id_bytes`` bytes an id) into a shared
-    folder; the manifest (file, n_sequences, length, id_bytes, sequence_ids) says
-    which rows it holds. Files
-    are named by attempt: only those of the manifest count."""
-    import uuid
+    folder. The manifest has a row per sequence: all columns but ids, then file,
+    row, id_bytes and ids_crc32 (of the padded row).
+
+    Files are named by attempt, and the manifest is a table committed by Spark:
+    only files that it names count. An empty table writes no file."""
+    folder = folder or shared_folder(packed.sparkSession) + "/matrices"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
-        name, out, ids = f"{uuid.uuid4().hex}.ids", None, []
+        name, out, at = f"{uuid.uuid4().hex}.ids", None, 0
         for batch in batches:
-            for k, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = out or files.open_output_stream(f"{path}/{name}")
+            rows = batch.column("ids").to_pylist()
+            if rows and out is None:
+                files.create_dir(path, recursive=True)
+                out = files.open_output_stream(f"{path}/{name}")
+            for row in rows:
                 out.write(row)
-                width = len(row) // length
-                ids.append(k)
+            n = len(rows)
+            more = ([f"{folder}/{name}"] * n, range(at, at + n), [len(r) // length for r in rows], map(zlib.crc32, rows))
+            columns = [pa.array(list(c), t) for c, t in zip(more, (pa.string(), pa.int64(), pa.int32(), pa.int64()))]
+            kept = batch.drop_columns(["ids"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "file", "row", "id_bytes", "ids_crc32"])
+            at += n
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(ids)], pa.int64()), pa.array([length], pa.int64()), pa.array([width], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], ["file", "n_sequences", "length", "id_bytes", "sequence_ids"])
-
-    from sievelake.llm.common import written
 
-    return written(packed.select("sequence_id", "ids").mapInArrow(write, "file string, n_sequences bigint, length bigint, id_bytes bigint, sequence_ids array<bigint>"), "matrices")
+    return written(packed.mapInArrow(write, PLACE), "manifest")

@@ -48,7 +48,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bestfit.pack_best_fit(_table(spark, sf_dir, "documents"))
+    return bestfit.write_matrices(bestfit.pack_best_fit(_table(spark, sf_dir, "documents")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
