@@ -6,14 +6,17 @@
    tasks' queues: every document knows how many of its source's tokens come
    before it. Only totals are shuffled.
 3. The mixing schedule gives every window (``WINDOW`` sequences) its tokens per
-   source: cumulative targets, rounded, so what a window gives a source too
-   little is its deficit in the next. Windows span partitions, and so do the
-   deficits. A source that ends hands its share to the others.
+   source: the target of the window and the deficit carried into it, in whole
+   tokens; what is then too much or too little is the deficit that the next
+   window starts from. Windows span partitions, and so do the deficits, which
+   follow from cumulative targets without reading the windows before. A source
+   that ends hands its share to the others.
 4. A document's place in its queue says which windows take its tokens; pieces
    are shuffled to their windows once.
-5. In a window, sources are served in rounds: a source's deficit grows by its
-   quantum, and it sends pieces, the last one cut, as far as the deficit goes.
-   The stream is cut into sequences without gaps.
+5. In a window, sources are served in rounds, from the deficits carried in: a
+   source's deficit grows by its quantum, its target share of a sequence, and it
+   sends pieces while the deficit is positive; what the last one takes too much
+   stays owed. The stream is cut into sequences without gaps.
 
 The tokens of a window are exactly its sequences' room, so only the last window
 has padding; its last sequence is cut at powers of two, which need none.
@@ -35,6 +38,8 @@ from sievelake.llm.tokens import WordTokenizer, default_tokenizer
 
 #: Sequences of a window.
 WINDOW = 64
+#: Sources that a mixture may have: a schedule of all of them is in every task.
+MAX_SOURCES = 10_000
 
 
 class Schedule:
@@ -61,13 +66,24 @@ class Schedule:
         self.total = sum(supply)
         self.windows = -(-self.total // room)
 
+    def target(self, window: int) -> list[float]:
+        """Tokens that each source is due in the windows before this one."""
+        position = min(window * self.room, self.total)
+        if not self.marks:
+            return [0.0] * len(self.supply)
+        at, taken, share = self.marks[max(0, bisect_right([m[0] for m in self.marks], position) - 1)]
+        return [min(float(n), t + s * (position - at)) for n, t, s in zip(self.supply, taken, share)]
+
+    def deficits(self, window: int) -> list[float]:
+        """What each source is owed, or has had too much, when a window starts."""
+        return [due - had for due, had in zip(self.target(window), self.before(window))]
+
     def before(self, window: int) -> list[int]:
         """Tokens of each source in the windows before this one."""
         position = window * self.room
         if position >= self.total:
             return list(self.supply)
-        at, taken, share = self.marks[max(0, bisect_right([m[0] for m in self.marks], position) - 1)]
-        exact = [min(float(n), t + s * (position - at)) for n, t, s in zip(self.supply, taken, share)]
+        exact = self.target(window)
         out, cumulative, done = [], 0.0, 0
         for i, x in enumerate(exact):
             cumulative += x
@@ -155,15 +171,16 @@ SCHEMA = "sequence_id bigint, window bigint, n_tokens bigint, ids binary, segmen
 _SEGMENT = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("source_no", pa.int32()), ("offset", pa.int64())])
 
 
-def serve(queues: dict[int, list[tuple]], total: int) -> list[tuple]:
+def serve(queues: dict[int, list[tuple]], due: dict[int, float], carried: dict[int, float], length: int) -> list[tuple]:
     """Deficit round-robin over one window's queues of (doc_id, start, doc_tokens,
     ids): the pieces in the order of service as (source, doc_id, start,
-    doc_tokens, ids). Quanta are the sources' shares of a sequence's room, so a
-    round is about one sequence; whole pieces go while the deficit is positive,
-    and what they take too much stays owed."""
-    share = {s: sum(len(p[3]) for p in q) / max(1, total) for s, q in queues.items()}
-    quantum = {s: max(1.0, 2048 * x) for s, x in share.items()}
-    deficit = dict.fromkeys(queues, 0.0)
+    doc_tokens, ids). ``due`` are the tokens of the window's target and
+    ``carried`` the deficits that it starts from. Quanta are the targets' shares
+    of a sequence, so a round is about one sequence; whole pieces go while the
+    deficit is positive, and what they take too much stays owed."""
+    total = max(1.0, sum(due.values()))
+    quantum = {s: max(1.0, length * due.get(s, 0.0) / total) for s in queues}
+    deficit = {s: carried.get(s, 0.0) for s in queues}
     heads, out = dict.fromkeys(queues, 0), []
     left = sorted(queues)
     while left:
@@ -180,9 +197,11 @@ def serve(queues: dict[int, list[tuple]], total: int) -> list[tuple]:
     return out
 
 
-def _fill(length: int, dtype: np.dtype):
+def _fill(schedule: Schedule, length: int, dtype: np.dtype):
     def fill(table: pa.Table) -> pa.Table:
         window = table["window"][0].as_py()
+        due = dict(enumerate(b - a for a, b in zip(schedule.target(window), schedule.target(window + 1))))
+        carried = dict(enumerate(schedule.deficits(window)))
         rows = sorted(zip(*(table[c].to_pylist() for c in ("source_no", "place", "doc_id", "start", "doc_tokens", "ids"))), key=lambda r: (r[0], r[1]))
         queues: dict[int, list[tuple]] = {}
         for s, _, doc, start, tokens, ids in rows:
@@ -194,7 +213,7 @@ def _fill(length: int, dtype: np.dtype):
             sizes.append(1 << (rest.bit_length() - 1))
             rest -= sizes[-1]
         cols: list[list] = [[] for _ in range(5)]
-        stream, at = iter(serve(queues, total)), 0
+        stream, at = iter(serve(queues, due, carried, length)), 0
         piece = next(stream, None)
         for k, size in enumerate(sizes):
             row, segments, used = np.zeros(size, "<u4"), [], 0
@@ -213,18 +232,19 @@ def _fill(length: int, dtype: np.dtype):
     return fill
 
 
-def pack_mixture(docs: DataFrame, weights: dict[str, float] | None = None, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None) -> DataFrame:
+def pack_mixture(docs: DataFrame, weights: dict[str, float] | None = None, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None, temperature: float = 0.5) -> DataFrame:
     """Sequences of ``length`` tokens: sequence_id, window, n_tokens, ids
     (little-endian unsigned 32 bits) and segments (doc_id, start, length,
     doc_tokens, source_no, offset), every token of every row in exactly one.
 
     ``weights`` are target token proportions per source (a source it lacks has
-    weight 0 and comes last); without it, those of the corpus, so every window
-    looks like the whole. A null source is the source of empty name; null and
+    weight 0 and comes last); without it, a source's tokens to the power
+    ``temperature``: small sources get more than their share of a window until
+    they end, and 1 makes every window look like the whole. A null source is the source of empty name; null and
     empty texts are the end id alone; repeated rows are packed again; other
     columns are ignored; an empty table gives no sequences. The tail of the
-    last window is cut at powers of two. The sources are a short list: their
-    totals go to the driver.
+    last window is cut at powers of two. Ids are integers (others are cast). The
+    sources are a list of at most MAX_SOURCES, as their totals go to the driver.
     """
     ready(docs.sparkSession)
     path = tokenizer or default_tokenizer()
@@ -233,16 +253,19 @@ def pack_mixture(docs: DataFrame, weights: dict[str, float] | None = None, lengt
     totals = rows.groupBy("block", "source").agg(F.sum("n").alias("tokens"))
     queue = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = written(totals.withColumn("ahead", F.coalesce(F.sum("tokens").over(queue), F.lit(0))), "ahead")
-    supply = {r[0]: r[1] for r in ahead.groupBy("source").agg(F.sum("tokens")).collect()}
+    by_source = ahead.groupBy("source").agg(F.sum("tokens")).limit(MAX_SOURCES + 1).collect()
+    if len(by_source) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; group them before packing")
+    supply = {r[0]: r[1] for r in by_source}
     names = sorted(supply)
-    wanted = [float((weights or supply).get(s, 0.0)) for s in names]
+    wanted = [float(supply[s]) ** temperature if weights is None else float(weights.get(s, 0.0)) for s in names]
     schedule = Schedule([supply[s] for s in names], wanted, WINDOW * length)
     pieces = (
         rows.join(ahead.select("block", "source", "ahead"), ["block", "source"])
         .select("doc_id", "source", (F.col("ahead") + F.col("off")).alias("place"), "n", "ids")
         .mapInArrow(_deal(schedule, {s: i for i, s in enumerate(names)}, dtype.itemsize), "window bigint, source_no int, place bigint, doc_id bigint, start bigint, doc_tokens bigint, ids binary")
     )
-    return pieces.groupBy("window").applyInArrow(_fill(length, dtype), SCHEMA)
+    return pieces.groupBy("window").applyInArrow(_fill(schedule, length, dtype), SCHEMA)
 
 
 def pieces_of(packed: DataFrame) -> DataFrame:

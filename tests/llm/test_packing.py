@@ -107,12 +107,14 @@ def test_best_fit_and_round_trip(spark, sf, direct):
         assert sorted(rooms) == sorted(cap - sum(sizes[k] for k in s) for s in packed)
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got, total, rows = defaultdict(dict), 0, queries.op7_token_binary(spark, sf).collect()
+    matrices = {f: np.fromfile(f.removeprefix("file://"), "<u2").reshape(-1, 2048) for f in {r.file for r in rows}}
+    assert sum(map(len, matrices.values())) == len(rows) == len({(r.file, r.row) for r in rows})
     for r in rows:
-        ids = np.frombuffer(r.ids, "<u2")
-        assert len(ids) == 2048 and not ids[r.n_tokens :].any() and r.cu_seqlens[-1] == r.n_tokens
+        ids = matrices[r.file][r.row]
+        assert not ids[r.n_tokens :].any() and r.cu_seqlens[-1] == r.n_tokens and r.id_bytes == 2 and r.ids_crc32 == zlib.crc32(ids.tobytes())
+        assert r.position_resets == [b for b, s in zip(r.cu_seqlens, r.starts) if s == 0]
         total += r.n_tokens
-        for k, (d, s, reset) in enumerate(zip(r.doc_ids, r.starts, r.position_resets)):
-            assert reset == s
+        for k, (d, s) in enumerate(zip(r.doc_ids, r.starts)):
             got[d][s] = ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()
     for d, t in texts.items():
         assert [x for s in sorted(got[d]) for x in got[d][s]] == direct(t)
@@ -121,11 +123,80 @@ def test_best_fit_and_round_trip(spark, sf, direct):
 
 def test_best_fit_edge_cases(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (2, "", "s"), (None, "x " * 5000, None)], SCHEMA)
-    rows = bestfit.pack_best_fit(df, length=64).collect()
+    rows = sorted(bestfit.pack_best_fit(df, length=64).collect(), key=lambda r: r.sequence_id)
     assert sum(r.n_tokens for r in rows) == 3 + 5001
     assert bestfit.pack_best_fit(df.limit(0)).collect() == []
     packed = bestfit.pack_best_fit(df, length=64)
     files = bestfit.write_matrices(packed, f"file://{tmp_path}/m", 64).collect()
-    data = {k: np.fromfile(f.file.removeprefix("file://"), f"<u{f.id_bytes}").reshape(-1, 64)[i] for f in files for i, k in enumerate(f.sequence_ids)}
-    for r in rows:
-        assert data[r.sequence_id].tobytes() == r.ids
+    for r, f in zip(rows, sorted(files, key=lambda f: f.sequence_id)):
+        row = np.fromfile(f.file.removeprefix("file://"), f"<u{f.id_bytes}").reshape(-1, 64)[f.row]
+        assert row.tobytes() == r.ids and (f.sequence_id, f.cu_seqlens, f.starts) == (r.sequence_id, r.cu_seqlens, r.starts)
+    assert bestfit.write_matrices(packed.limit(0), f"file://{tmp_path}/none", 64).collect() == [] and not (tmp_path / "none").exists()
+    long = max(rows, key=lambda r: r.starts[0])
+    assert long.position_resets == [] and long.cu_seqlens == [0, 9]  # the rest of the long text goes on from its start
+
+
+def plain_rounds(queues, weights, room, length):
+    """Deficit round-robin window by window, deficits carried along: sources are
+    due their shares, get whole tokens, and are owed the rest."""
+    supply, taken = [sum(q) for q in queues], [0] * len(queues)
+    deficit, out = [0.0] * len(queues), []
+    while sum(taken) < sum(supply):
+        left, due = min(room, sum(supply) - sum(taken)), [0.0] * len(queues)
+        at = [t + d for t, d in zip(taken, deficit)]  # what was due so far
+        while left > 1e-9:
+            live = [i for i in range(len(queues)) if supply[i] - at[i] - due[i] > 1e-6]
+            if not live:
+                break
+            total = sum(weights[i] for i in live)
+            step = min([left] + [(supply[i] - at[i] - due[i]) * total / weights[i] for i in live if weights[i] > 0])
+            for i in live:
+                due[i] += step * weights[i] / total
+            left -= step
+        out.append((due, list(deficit)))
+        cumulative = done = 0
+        target = [a + d for a, d in zip(at, due)]
+        new = []
+        for t in target:
+            cumulative += t
+            new.append(round(cumulative + 1e-9) - done)
+            done = round(cumulative + 1e-9)
+        deficit, taken = [t - n for t, n in zip(target, new)], new
+    return out
+
+
+def test_deficits_are_carried_from_window_to_window():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        k = int(rng.integers(1, 6))
+        supply = rng.integers(1, 5000, k).tolist()
+        weights = rng.uniform(0.2, 5, k).tolist()
+        s = packing.Schedule(supply, weights, 320)
+        want = plain_rounds([[n] for n in supply], weights, 320, 32)
+        assert len(want) == s.windows
+        for w, (due, deficit) in enumerate(want):
+            assert np.allclose([b - a for a, b in zip(s.target(w), s.target(w + 1))], due, atol=1.5)
+            assert np.allclose(s.deficits(w), deficit, atol=1.5) and abs(sum(s.deficits(w))) < 1e-6
+            assert all(abs(d) < 2 for d in s.deficits(w))
+
+
+def test_rounds_start_from_what_is_owed():
+    queue = lambda n: [(i, 0, 10, [0] * 10) for i in range(n)]
+    served = packing.serve({0: queue(4), 1: queue(4)}, {0: 40.0, 1: 40.0}, {0: -15.0, 1: 0.5}, 20)
+    plain, deficit, left = [], {0: -15.0, 1: 0.5}, {0: 4, 1: 4}
+    while any(left.values()):
+        for s in (0, 1):
+            if left[s]:
+                deficit[s] += 10
+                while deficit[s] > 0 and left[s]:
+                    plain.append(s)
+                    deficit[s] -= 10
+                    left[s] -= 1
+    assert [s for s, *_ in served] == plain
+
+
+def test_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_SOURCES", 3)
+    df = spark.createDataFrame([(i, "x", f"s{i}") for i in range(5)], SCHEMA)
+    with pytest.raises(ValueError):
+        packing.pack_mixture(df)
