@@ -29,9 +29,13 @@ from sievelake.llm.common import claim_cache, keeps_cache, ready
 
 ORDER, DISCOUNT, EDGE = 5, 0.75, 0x1F
 #: A document is rejected when its best cross-entropy a letter, in log10 units,
-#: lies this far above the language's mean: its letters are on average four
+#: lies this far above the language's median: its letters are on average four
 #: times less likely than the language's own.
 REJECT_BY = 0.6
+#: The share of a language's documents that its limit lies above in any case.
+NEARLY_ALL = 0.95
+#: Labels that may be learned; each adds a column to the broadcast models.
+MAX_LANGUAGES = 500
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -114,19 +118,30 @@ class CharModels:
         return best, score, mean.min(1) > self.limits[best] if len(self.limits) else np.zeros(len(best), bool)
 
 
+def held_back(texts: list[str]) -> tuple[list[str], list[str]]:
+    """Texts to fit on, and the fifth by checksum that limits are set by. Where
+    either would be empty, all texts serve for both."""
+    back = [zlib.crc32(t.encode("utf-8", "replace")) % 5 == 0 for t in texts]
+    if all(back) or not any(back):
+        return texts, texts
+    return [t for t, b in zip(texts, back) if not b], [t for t, b in zip(texts, back) if b]
+
+
 def fit_models(texts: dict[str, list[str]]) -> CharModels:
     """Kneser-Ney models of the given texts, per language, then calibration on
-    the same texts: a language's rejection limit lies REJECT_BY above the mean
-    cross-entropy of its documents and above all of them, so that documents
-    with foreign passages, numbers or keys stay."""
+    texts that were held back: a language's rejection limit lies REJECT_BY above
+    the median cross-entropy of its documents and above nearly all of them, so
+    that documents with foreign passages, numbers or keys stay, while a few junk
+    documents under its label do not lift the limit."""
     langs = sorted(texts)
     if not langs:
         z = np.zeros(1, np.uint64)
         return CharModels([], z, np.zeros((1, 0), np.float32), z, np.zeros((1, 0), np.float32), np.zeros(0, np.float32))
-    counted = {}
+    counted, tried = {}, {}
     for lang in langs:
         words = Counter()
-        for t in texts[lang]:
+        fitted, tried[lang] = held_back(texts[lang])
+        for t in fitted:
             for token, n in Counter(t.split()).items():
                 for w in letters(token):
                     words[w] += n
@@ -146,9 +161,9 @@ def fit_models(texts: dict[str, list[str]]) -> CharModels:
     models = CharModels(langs, grams, logp, contexts, backoff, floor)
     limits, gaps = [], []
     for k, lang in enumerate(langs):
-        costs = np.array([c / max(n, 1) for c, n in (doc_cost(models, t) for t in texts[lang]) if n])
+        costs = np.array([c / max(n, 1) for c, n in (doc_cost(models, t) for t in tried[lang]) if n])
         own = costs[:, k] if len(costs) else np.zeros(1)
-        limits.append(max(own.mean() + REJECT_BY, own.max() + REJECT_BY / 4))
+        limits.append(max(np.median(own) + REJECT_BY, np.quantile(own, NEARLY_ALL) + REJECT_BY / 4))
         if len(langs) > 1 and len(costs):
             gaps.append(np.median(np.sort(np.delete(costs, k, 1), 1)[:, 0] - own))
     models.limits = np.array(limits)
@@ -228,9 +243,12 @@ def _flatten(tables: dict, lang: str, langs: list[str], grams: np.ndarray, conte
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> dict[str, list[str]]:
     """Whole texts of about ``per_language`` documents of each language, picked
     by a hash of their id; a language's rows are counted over the whole table.
-    The driver gets at most about ``per_language`` texts a language."""
+    The driver gets at most about ``per_language`` texts a language, of at most
+    MAX_LANGUAGES languages; more are an error."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
     if not counts:
         return {}
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])

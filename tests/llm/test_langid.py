@@ -1,5 +1,10 @@
+import math
+import random
 import zlib
+from collections import Counter
 
+import numpy as np
+import pytest
 from sievelake.llm import langid, queries
 
 SCHEMA = "doc_id bigint, text string, lang string"
@@ -51,8 +56,6 @@ def test_flattened_model_is_a_distribution():
 
 
 def _cost(models, context, c):
-    import numpy as np
-
     pad = chr(langid.EDGE) * (langid.ORDER - 1)
     codes = np.frombuffer((pad + context + c).encode("utf-32-le"), np.uint32)[-langid.ORDER :]
     cost = np.zeros(len(models.langs))
@@ -67,3 +70,73 @@ def _cost(models, context, c):
             if models.contexts[i] == h[0]:
                 cost = cost - models.backoff[i]
     return cost - models.floor
+
+
+def plain_models(texts):
+    """Interpolated Kneser-Ney by plain counting over strings."""
+    E, D, N = chr(langid.EDGE), langid.DISCOUNT, langid.ORDER
+    words = {k: [w for t in langid.held_back(ts)[0] for token in t.split() for w in langid.letters(token)] for k, ts in texts.items()}
+    alphabet = len({c for ws in words.values() for w in ws for c in w}) + 2
+
+    def of(ws):
+        top = Counter()
+        seen = {n: set() for n in range(1, N + 1)}
+        for w in ws:
+            s = E * (N - 1) + w + E
+            for i in range(N - 1, len(s)):
+                top[s[i - N + 1 : i + 1]] += 1
+                for n in range(1, N + 1):
+                    seen[n].add(s[i - n + 1 : i + 1])
+        count = {N: dict(top)}
+        for n in range(1, N):
+            count[n] = {g: max(1, sum(x.endswith(g) for x in seen[n + 1])) for g in seen[n]}
+
+        def p(g):
+            n = len(g)
+            if n == 1:
+                c = count[1]
+                return (c[g] + 0.5) / (sum(c.values()) + 0.5 * (len(c) + 1)) if g in c else 10 ** (-math.log10(alphabet) - 2)
+            after = [c for x, c in count[n].items() if x[:-1] == g[:-1]]
+            if not after:
+                return p(g[1:])
+            return max(count[n].get(g, 0) - D, 0) / sum(after) + D * len(after) / sum(after) * p(g[1:])
+
+        def cost(w):
+            s = E * (N - 1) + w + E
+            return -sum(math.log10(p(s[i - N + 1 : i + 1])) for i in range(N - 1, len(s)))
+
+        return cost
+
+    return {k: of(ws) for k, ws in words.items()}
+
+
+def test_costs_are_those_of_plain_counting():
+    rng = random.Random(4)
+    texts = {k: [" ".join("".join(rng.choices(cs, k=rng.randrange(1, 6))) for _ in range(6)) for _ in range(7)] for k, cs in (("x", "abcd"), ("y", "cdeü"), ("z", "aab"))}
+    models, plain = langid.fit_models(texts), plain_models(texts)
+    words = ["abcd", "ü", "cdecde", "q", "aaaaaaa", "zebra", "dcba", "ab"] + ["".join(rng.choices("abcdeü", k=rng.randrange(1, 8))) for _ in range(40)]
+    cost, size = models.word_costs(words)
+    assert size.tolist() == [len(w) + 1 for w in words]
+    for i, w in enumerate(words):
+        for k, lang in enumerate(models.langs):
+            assert math.isclose(cost[i, k], plain[lang](w), rel_tol=2e-4, abs_tol=2e-4), (w, lang)
+
+
+def test_junk_under_a_label_does_not_lift_its_limit():
+    rng = random.Random(6)
+    text = lambda cs, n: " ".join("".join(rng.choices(cs, k=rng.randrange(2, 7))) for _ in range(n))
+    clean = {"x": [text("abcdef", 60) for _ in range(200)], "y": [text("ghijkl", 60) for _ in range(200)]}
+    junk = {**clean, "x": clean["x"] + [text("mnopqrstuvwxyz", 60) for _ in range(4)]}
+    a, b = langid.fit_models(clean), langid.fit_models(junk)
+    assert abs(a.limits[0] - b.limits[0]) < 0.15
+    cost, n = langid.doc_cost(b, text("ABCDEF".lower(), 50))
+    assert not b.judge(cost[None], np.array([n]))[2][0]
+    cost, n = langid.doc_cost(b, text("МНОПРСТ".lower(), 50))
+    assert b.judge(cost[None], np.array([n]))[2][0]
+
+
+def test_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "text", f"l{i}") for i in range(5)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.training_sample(df, "doc_id", "text", "lang", 10)
