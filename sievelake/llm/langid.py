@@ -38,6 +38,9 @@ NEARLY_ALL = 0.95
 MAX_LANGUAGES = 500
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(29), np.uint64(32))
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters of a token with digits (keys, identifiers, addresses) are hardly of a
+#: language: they count this much, so they decide only where nothing else does.
+DIGIT, DIGIT_WEIGHT = re.compile(r"\d"), 1 / 64
 
 
 def _hash_grams(codes: np.ndarray) -> np.ndarray:
@@ -111,7 +114,7 @@ class CharModels:
 
     def judge(self, cost: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language number, score and rejection from costs of documents."""
-        mean = cost / np.maximum(size, 1)[:, None]
+        mean = cost / np.where(size > 0, size, 1)[:, None]
         best = mean.argmin(1)
         gap = (mean - mean.min(1)[:, None]) * self.scale * np.minimum(size, 200)[:, None]
         score = 1 / np.exp(-np.minimum(gap, 600) * np.log(10)).sum(1)
@@ -143,7 +146,7 @@ def fit_models(texts: dict[str, list[str]]) -> CharModels:
         fitted, tried[lang] = held_back(texts[lang])
         for t in fitted:
             for token, n in Counter(t.split()).items():
-                for w in letters(token):
+                for w in () if DIGIT.search(token) else letters(token):
                     words[w] += n
         counted[lang] = words
     tables = {lang: _tables(w) for lang, w in counted.items()}
@@ -171,12 +174,14 @@ def fit_models(texts: dict[str, list[str]]) -> CharModels:
     return models
 
 
-def doc_cost(models: CharModels, text: str) -> tuple[np.ndarray, int]:
-    words = [w for token in text.split() for w in letters(token)]
+def doc_cost(models: CharModels, text: str) -> tuple[np.ndarray, float]:
+    """A text's costs per language and its letters, both weighted."""
+    words = [(w, DIGIT_WEIGHT if DIGIT.search(token) else 1.0) for token in text.split() for w in letters(token)]
     if not words:
-        return np.zeros(len(models.langs)), 0
-    cost, size = models.word_costs(words)
-    return cost.sum(0), int(size.sum())
+        return np.zeros(len(models.langs)), 0.0
+    cost, size = models.word_costs([w for w, _ in words])
+    weight = np.array([x for _, x in words])
+    return weight @ cost, float(weight @ size)
 
 
 def _tables(words: Counter) -> dict:
@@ -302,6 +307,7 @@ def identify(docs: DataFrame, models: CharModels, id_col: str = "doc_id", text_c
                     cost, size = m.word_costs(flat)
                     owner = np.repeat(np.arange(len(part)), [len(s) for s in split])
                     full = np.stack([np.bincount(owner, cost[:, k], len(part)) for k in range(kinds)] + [np.bincount(owner, size, len(part))], 1)
+                    full[[i for i, w in enumerate(part) if DIGIT.search(w)]] *= DIGIT_WEIGHT
                 else:
                     full = np.zeros((len(part), kinds + 1))
                 seen.update(zip(part, full.astype(np.float32).view(f"V{4 * kinds + 4}").ravel().tolist()))
