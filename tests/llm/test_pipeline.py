@@ -61,3 +61,49 @@ def test_stages_keep_the_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+WORDS = {"en": "the of and to in a is that it was for on are as with his they at be this".split(), "de": "der die und das ist nicht sie ein ich mit dem auf den für im zu von sich auch".split()}
+
+
+def odd_rows():
+    text = lambda lang, k: " ".join(WORDS[lang][(i * (k + 1) + i // 7 + k * k) % 19] for i in range(40 + k % 9))
+    rows = [(i, text(lang, i), lang, f"s{i % 3}", 1) for i in range(30) for lang in WORDS]
+    rows += [rows[3], rows[3], (None, rows[3][1], None, None, None), (None, None, None, None, None), (70, None, "en", "s1", None), (71, "", "en", "empty", 0), (71, "", "en", "empty", 0)]
+    rows += [(72, "123 456", None, "s1", 7), (73, "password=abcdefgh12 " + text("en", 5), "en", None, 9), (74, " ".join([text("de", 3)] * 400), "de", "s2", 1)]
+    return rows
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_stages_take_odd_rows(spark, sf):
+    rows = odd_rows()
+    plain = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    names = ["lang_pred", "score", "rejected", "copy_no", "mix_key", "spans", "component_id", "kept", "window", "_sl_count", "n", "sig", "rep", "label"]
+    wide = plain.selectExpr("*", *[f"cast(doc_id as string) as {c}" for c in names])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, plain, sf).collect()
+        again = stage(spark, wide.repartition(5), sf)
+        if name == "packing":
+            assert sum(r.length for r in out) == sum(r.length for r in again.collect()) and {r.doc_id for r in out} == {r[0] for r in rows}
+        else:
+            assert again.columns == [f.split()[0] for f in SCHEMA.split(", ")]
+            assert sorted(map(str, map(tuple, out))) == sorted(map(str, map(tuple, again.collect())))
+        assert stage(spark, plain.limit(0), sf).collect() == []
+        got = [r.doc_id for r in out]
+        if name == "language_id":
+            assert not {70, 71, 72} & set(got) and got.count(rows[3][0]) == 4 and got.count(None) == 1 and 74 in got
+        if name == "near_dedup":
+            assert got.count(70) == got.count(71) == got.count(72) == 1 and [r.text for r in out if r.doc_id is None] == [None]
+        if name == "secret_scans":
+            assert len(out) == len(rows) and [r.text[:9] for r in out if r.doc_id == 73] == ["[secret] "]
+        if name == "mixing":
+            assert {r.source for r in out} <= {None, "s0", "s1", "s2"}
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    for i, rows in enumerate((odd_rows(), [])):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{i}").collect()
+        assert bool(out) == bool(rows) and all(r.length > 0 for r in out)
