@@ -230,7 +230,7 @@ def keep_records(items: list[dict], budget: int | None = None, query: str = "")
     return sorted(keep)
 
 
-def keep_mixed(items: list) -> list[int]:
+def keep_mixed(items: list, query: str = "") -> list[int]:
     """Positions kept of an array of several kinds, chosen within each kind."""
     kind = lambda v: "bool" if isinstance(v, bool) else "num" if isinstance(v, (int, float)) else type(v).__name__
     groups: dict[str, list[int]] = {}
@@ -239,39 +239,40 @@ def keep_mixed(items: list) -> list[int]:
     keep: list[int] = []
     for name, at in groups.items():
         values = [items[i] for i in at]
-        pick = {"str": keep_strings, "num": keep_numbers, "dict": keep_records}.get(name)
+        pick = {"str": keep_strings, "num": keep_numbers, "dict": lambda x: keep_records(x, query=query)}.get(name)
         keep += [at[i] for i in pick(values)] if pick and len(at) >= 5 else at
     return sorted(keep)
 
 
-def keep_items(items: list) -> list[int]:
+def keep_items(items: list, query: str = "") -> list[int]:
     kinds = {("bool" if isinstance(v, bool) else type(v).__name__) for v in items}
     if kinds == {"dict"}:
-        return keep_records(items)
+        return keep_records(items, query=query)
     if kinds == {"str"}:
         return keep_strings(items)
     if kinds and kinds <= {"int", "float"}:
         return keep_numbers(items)
-    return keep_mixed(items) if len(items) > 8 and not kinds <= {"bool", "list"} else list(range(len(items)))
+    return keep_mixed(items, query) if len(items) > 8 and not kinds <= {"bool", "list"} else list(range(len(items)))
 
 
 def content_key(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False).encode("utf-8", "replace")).hexdigest()[:24]
 
 
-def walk(node, dropped: dict[str, str], left: int = DEPTH):
-    """A document with every large array cut and a marker for what went."""
+def walk(node, dropped: dict[str, str], left: int = DEPTH, query: str = ""):
+    """A document with every large array cut and a marker for what went; records
+    that name a word of the query stay."""
     if isinstance(node, dict):
         names = keep_object_keys(node)
-        out = {k: walk(node[k], dropped, left - 1) if left else node[k] for k in names}
+        out = {k: walk(node[k], dropped, left - 1, query) if left else node[k] for k in names}
         if len(names) < len(node):
             key = content_key(node)
             dropped[key] = json.dumps(node, ensure_ascii=False)
             out["_dropped"] = f"<<ccr:{key} {len(node) - len(names)}_keys_offloaded>>"
         return out
     if isinstance(node, list):
-        at = keep_items(node)
-        out = [walk(node[i], dropped, left - 1) if left else node[i] for i in at]
+        at = keep_items(node, query)
+        out = [walk(node[i], dropped, left - 1, query) if left else node[i] for i in at]
         if len(at) < len(node):
             key = content_key(node)
             dropped[key] = json.dumps(node, ensure_ascii=False)
@@ -290,7 +291,7 @@ def lossless_table(items: list[dict]) -> str | None:
     return text if whole - len(text) >= 256 and len(text) <= 0.7 * whole else None
 
 
-def reduce_text(text: str | None) -> tuple[str | None, str, dict[str, str]]:
+def reduce_text(text: str | None, query: str = "") -> tuple[str | None, str, dict[str, str]]:
     """(view, how, dropped): lossless if that is shorter or as short, lossy with
     the originals in ``dropped``, or the text itself."""
     try:
@@ -298,7 +299,7 @@ def reduce_text(text: str | None) -> tuple[str | None, str, dict[str, str]]:
     except (ValueError, TypeError, RecursionError):
         return text, "passthrough", {}
     dropped: dict[str, str] = {}
-    lossy = json.dumps(walk(node, dropped), ensure_ascii=False)
+    lossy = json.dumps(walk(node, dropped, query=query), ensure_ascii=False)
     table = lossless_table(node) if isinstance(node, list) and all(isinstance(x, dict) for x in node) else None
     if table is not None and (not dropped or len(table) // 4 <= len(lossy) // 4):
         return table, "lossless", {}

@@ -11,6 +11,7 @@ from sievelake.operators import logs as L
 from sievelake.operators import prose as R
 from sievelake.operators.reduce import per_document
 from sievelake.plans import payloads as P
+from sievelake.shared import written
 
 QUERY = "purchase timeout user"
 
@@ -77,7 +78,8 @@ def q_first_last(spark, sf):
 
 
 def q_log_select(spark, sf):
-    return _long(L.select_lines(log_rows(spark, sf), "pid").select("pid", "line_no", F.array_join("reasons", ",").alias("reasons")))
+    # Written once: the trace machine is Python, and the selection reads its rows for every rule.
+    return _long(L.select_lines(written(log_rows(spark, sf)), "pid").select("pid", "line_no", F.array_join("reasons", ",").alias("reasons")))
 
 
 def q_log_template(spark, sf):
@@ -157,11 +159,11 @@ def q_text_mandatory(spark, sf):
 
 
 def q_text_dedup(spark, sf):
-    return R.text_dedup(segs(spark, sf), "doc_id")
+    return R.text_dedup(written(segs(spark, sf)), "doc_id")
 
 
 def q_text_select(spark, sf):
-    s = segs(spark, sf)
+    s = written(segs(spark, sf))
     return R.text_select(R.text_score(s, "doc_id"), R.text_dedup(s, "doc_id"), "doc_id")
 
 
