@@ -86,7 +86,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .groupBy("_sl_host", "_sl_path")
         .agg(F.max(F.struct(F.length("_sl_rule").alias("n"), F.col("_sl_verdict").alias("verdict"), F.col("_sl_rule").alias("rule"))).alias("_sl_best"))
     )
-    return rows.join(best, ["_sl_host", "_sl_path"], "left").select(
+    # Rows without a host have no rule; they go round the join, as one key of many rows.
+    has_host = F.col("_sl_host") != ""
+    judged = rows.where(has_host).join(best, ["_sl_host", "_sl_path"], "left")
+    rest = rows.where(~has_host).withColumn("_sl_best", F.lit(None).cast(best.schema["_sl_best"].dataType))
+    return judged.unionByName(rest).select(
         *[F.col(f"`{c}`") for c in base.columns],
         F.col("_sl_host").alias("host"),
         F.col("_sl_path").alias("path"),
