@@ -130,9 +130,12 @@ def _links(threshold: float):
         for lo in range(0, len(left), 512):
             part = left[lo : lo + 512]
             with np.errstate(all="ignore"):
-                good = (early[part] @ early[right].T == 0) & (x[part] @ x[right].T >= threshold)
-            if i == j:
-                good &= part[:, None] < right[None, :]
+                good = early[part] @ early[right].T == 0
+                if i == j:
+                    good &= part[:, None] < right[None, :]
+                if not good.any():  # these meet in an earlier list, like most of a dense group
+                    continue
+                good &= x[part] @ x[right].T >= threshold
             a, b = np.nonzero(good)
             if len(a):
                 a, b = part[a], right[b]
