@@ -12,13 +12,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import islice
 
 import numpy as np
 
 from sievelake.llm.common import claim_cache, keeps_cache
 
-#: Words whose ids a worker keeps; of a full cache the newer half goes.
+#: Words whose ids a worker keeps; the cache is emptied when it is full.
 CACHE_WORDS = 800_000
 END_ID = 1
 
@@ -98,9 +97,9 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text (null: empty) without special tokens, then END_ID."""
-        if len(self.words) > CACHE_WORDS:  # the words met first are the frequent ones
-            self.words = dict(islice(self.words.items(), CACHE_WORDS // 2))
-            self.runs = dict(islice(self.runs.items(), CACHE_WORDS // 4))
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+            self.runs = {"": b""}
         # The tokenizer lowers letters itself; only its special tokens, which it
         # looks for before, must not come about by lowering.
         words = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
