@@ -10,7 +10,10 @@ sets share a register with a probability that grows with their similarity.
    bucket each class is paired with the smallest, not with all others.
 3. Registers of a pair, given the known set sizes, have a likelihood in the
    similarity; pairs that it rules out at five deviations go.
-4. The rest is confirmed on full sets. Components follow from the links.
+4. The rest is confirmed on full sets. A task passes over pairs whose ends its
+   links join already. Components follow from one link of each document, fewer
+   links than documents however many bands near copies share; the other links
+   count between those components only.
 5. Buckets that still hold several components are looked at again, with the full
    sets of their members: between two components, the pairs that the likelihood
    allows are confirmed in the order of their estimates until one is a link.
@@ -213,15 +216,28 @@ def _sets(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int, id_c
     return out
 
 
+def _root(parent: dict[int, int], v: int) -> int:
+    """The root of v in a forest, where a vertex without a parent is one."""
+    while (up := parent.get(v, v)) != v:
+        parent[v] = v = parent.get(up, up)
+    return v
+
+
 def _confirmed(left: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+    """Of the pairs (a, b) of representatives whose full sets reach the threshold,
+    a forest of each task's: what it leaves out joins nothing further."""
 
     full = _sets(left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))), classes, docs, width, id_col, text_col)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
         for batch in batches:
-            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            good = [_reaches(x, y, percent) for x, y in sets]
+            good = []
+            for a, b, x, y in zip(*(column.to_pylist() for column in batch.columns)):
+                p, q = _root(parent, a), _root(parent, b)
+                good.append(p != q and _reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+                if good[-1]:
+                    parent[p] = q
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     part = lambda x, s: full.select(F.col("v").alias(x), F.col("set").alias(s))
@@ -256,7 +272,7 @@ def _between(percent: int):
         rep, label, n, other, block = rep[order], label[order], n[order].astype(np.float64), other[order], block[order]
         regs = np.frombuffer(b"".join(table["regs"].take(pa.array(order)).to_pylist()), np.uint8).reshape(-1, REGISTERS)
         bands = regs.view(np.uint64)
-        names, group = np.unique(label, return_inverse=True)
+        group = np.unique(label, return_inverse=True)[1]
         rows, partners = np.flatnonzero(other == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, len(rows), 32):
@@ -280,16 +296,10 @@ def _between(percent: int):
             good = np.flatnonzero(short <= RULED_OUT)
             good = good[np.lexsort((b[good], a[good], -best[good]))]
             column = table["set"].take(pa.array(order))
-            parent = list(range(len(names)))
-
-            def root(g: int) -> int:
-                while parent[g] != g:
-                    parent[g] = g = parent[parent[g]]
-                return g
-
+            parent: dict[int, int] = {}
             sets: dict[int, np.ndarray] = {}
             for x, y in zip(a[good].tolist(), b[good].tolist()):
-                p, q = root(group[x]), root(group[y])
+                p, q = _root(parent, int(group[x])), _root(parent, int(group[y]))
                 if p == q:
                     continue
                 for z in (x, y):
@@ -342,6 +352,17 @@ def _links_between(mixed: DataFrame, classes: DataFrame, docs: DataFrame, width:
     return out
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (v, label) of components after further links (a, b), found on
+    the components' names alone."""
+    name = lambda x: labels.select(F.col("v").alias(x), F.col("label").alias(f"of_{x}"))
+    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    up = components(ends.where("a != b").distinct())
+    named = labels.join(up.select(F.col("v").alias("label"), F.col("label").alias("up")), "label", "left").select("v", F.coalesce("up", "label").alias("label"))
+    # A component's name is one of its vertices: others had no link before.
+    return written(named.unionByName(up.join(labels.select("v"), "v", "left_anti")), "joined")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
@@ -366,16 +387,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = written(bands.join(several, "key"), "met")
     stars = met.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_likely(stars, classes, percent), classes, docs, width, percent, id_col, text_col)
-    labels = components(links)
+    labels = _joined(components(links.groupBy("b").agg(F.min("a").alias("a"))), links)
     mixed = _mixed(met, labels)
     if mixed.limit(1).count():
         more = _links_between(mixed, classes, docs, width, percent, id_col, text_col)
         if more.limit(1).count():
-            labels = components(links.unionByName(more))
+            labels = _joined(labels, more)
     member = classes.select("sig", "least", "rep").join(labels.select(F.col("v").alias("rep"), "label"), "rep", "left").select("sig", "least", F.coalesce("label", "rep").alias("label"))
     member = written(member, "member")
     class_of = written(member.join(member.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("sig", "component_id"), "class_of")
-    for done in (met, mixed, links, member):
+    for done in (met, mixed, links, labels, member):
         drop_written(done)
     return (
         sketches.select("doc_id", "n", "sig")

@@ -133,3 +133,30 @@ def test_quick_test_drops_only_what_the_likelihood_drops():
         quick = neardup._plausible(n, n, (a == b).sum(1), 0.8)[0]
         assert quick or short[0] > neardup.RULED_OUT
         assert share < 0.8 or short[0] <= neardup.RULED_OUT
+
+
+def test_components_get_fewer_links_than_documents(spark, monkeypatch):
+    """Near copies that meet in many bands: components join over their links."""
+    rng = random.Random(4)
+    rows = []
+    for n in range(160):
+        w = [f"b{i}" for i in range(150)]
+        for i in rng.sample(range(150), rng.choice([1, 2, 3])):
+            w[i] = f"n{n}x{i}"
+        rows.append((n, " ".join(w)))
+    given, components = [], neardup.components
+
+    def counted(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    assert found(neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=2)) == brute(rows)
+    assert sum(given) < len(rows), given
+
+
+def test_joined_names_components_by_their_smallest(spark):
+    labels = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (6, 6), (7, 6)], "v bigint, label bigint")
+    links = spark.createDataFrame([(4, 5), (5, 4), (1, 4), (8, 9), (3, 7)], "a bigint, b bigint")
+    got = {r.v: r.label for r in neardup._joined(labels, links).collect()}
+    assert got == {1: 1, 4: 1, 2: 1, 5: 1, 6: 3, 7: 3, 3: 3, 8: 8, 9: 8}
