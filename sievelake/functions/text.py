@@ -116,11 +116,20 @@ def auto_ratio(text: Column) -> Column:
     return F.when(json, 3.2).when(code, 3.5).otherwise(4.0)
 
 
+def _tenths(n: Column, unit: int) -> Column:
+    """n / unit with one decimal, halves to the even tenth: as C's printf has it,
+    since a half of a tenth is exact in binary here. Java rounds it up."""
+    whole, rest = F.floor(n * 10 / unit), F.pmod(n * 10, F.lit(unit))
+    t = whole + F.when((rest * 2 > unit) | ((rest * 2 == unit) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+
 def humanize_bytes(n: Column) -> Column:
+    n = n.cast("bigint")
     return (
         F.when(n < 1024, F.format_string("%dB", n))
-        .when(n < 1024 * 1024, F.format_string("%.1fKB", n / 1024))
-        .otherwise(F.format_string("%.1fMB", n / (1024 * 1024)))
+        .when(n < 1024 * 1024, F.concat(_tenths(n, 1024), F.lit("KB")))
+        .otherwise(F.concat(_tenths(n, 1024 * 1024), F.lit("MB")))
     )
 
 
