@@ -127,7 +127,8 @@ def budget_ladder(sizes: DataFrame, key: list[str], rung: str, size: str, most:
     return sizes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*key, rung, size, fits.alias("fits"))
 
 
-def result_cache(requests: DataFrame, key: list[str], at: str, ttl: int = 1800) -> DataFrame:
-    """Adds ``hit``: an equal request came within the last ``ttl`` seconds."""
-    w = Window.partitionBy(*key).orderBy(at)
+def result_cache(requests: DataFrame, key: list[str], at: str, ttl: int = 1800, tie: str | None = None) -> DataFrame:
+    """Adds ``hit``: an equal request came within the last ``ttl`` seconds. Of
+    requests at the same second the one with the least ``tie`` is the earliest."""
+    w = Window.partitionBy(*key).orderBy(at, *([tie] if tie else []))
     return requests.withColumn("hit", F.coalesce(F.col(at) - F.lag(at).over(w) <= ttl, F.lit(False)))

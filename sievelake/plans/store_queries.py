@@ -162,7 +162,7 @@ def q_breaker(spark, sf):
 
 
 def q_result_cache(spark, sf):
-    return ST.result_cache(_events(spark, sf), ["event_type", "user_id"], "at", 86400).select("event_id", "hit")
+    return ST.result_cache(_events(spark, sf), ["event_type", "user_id"], "at", 86400, tie="event_id").select("event_id", "hit")
 
 
 def q_frozen(spark, sf):
