@@ -3,7 +3,8 @@ the decision how a collection may be reduced.
 
 All operators take the long form of :mod:`sievelake.collections` and aggregate
 by (coll, field), so partial sums are combined before the shuffle and no step
-gathers a collection in one place.
+gathers a collection in one place. Those that read the cells many times do best
+with cells that are already partitioned by collection: then none shuffles them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import shannon_bits
+from sievelake.shared import written
 
 ISO_DATETIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
@@ -222,9 +224,11 @@ def field_roles(cells: DataFrame, stats: DataFrame) -> DataFrame:
     return j.select("coll", "field", role.alias("role"))
 
 
-def patterns(cells: DataFrame, stats: DataFrame) -> DataFrame:
-    """(coll, pattern): time_series, logs, search_results or generic."""
-    j = stats.join(temporal(cells, stats), ["coll", "field"]).join(score_fields(cells, stats), ["coll", "field"], "left")
+def patterns(cells: DataFrame, stats: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """(coll, pattern): time_series, logs, search_results or generic. ``scores``
+    is what :func:`score_fields` gives, if it is there already."""
+    scores = score_fields(cells, stats) if scores is None else scores
+    j = stats.join(temporal(cells, stats), ["coll", "field"]).join(scores, ["coll", "field"], "left")
     text = F.col("field_type") == "string"
     message = text & (F.col("unique_ratio") > 0.5) & (F.col("avg_length") > 20)
     level = text & ~message & (F.col("unique_ratio") < 0.1) & F.col("unique_count").between(2, 10)
@@ -249,14 +253,13 @@ def error_rows(cells: DataFrame) -> DataFrame:
     return cells.where(F.lower(F.concat_ws(" ", "field", "s")).rlike(words)).select("coll", "ord").distinct()
 
 
-def rare_status(cells: DataFrame) -> DataFrame:
-    """(coll, ord, field, value) of rows with a rare value in a column that at
-    least 80% of the rows have and that holds 2 to 50 values, the fewest most
-    frequent of which, at most five, cover 80% of the rows."""
+def _rare_values(cells: DataFrame) -> DataFrame:
+    """(coll, field, v): the rare values of :func:`rare_status`; v is
+    ``__none__`` for null."""
     sizes = cells.groupBy("coll").agg(F.count_distinct("ord").alias("n"))
     counts = cells.groupBy("coll", "field", F.coalesce("s", F.lit("__none__")).alias("v")).agg(F.count("*").alias("c"), F.max((F.col("kind") != "null").cast("int")).alias("known"))
     by = Window.partitionBy("coll", "field")
-    ranked = (
+    return (
         counts.withColumn("total", F.sum("c").over(by))
         .withColumn("kinds", F.sum("known").over(by))
         .withColumn("ahead", F.coalesce(F.sum("c").over(by.orderBy(F.desc("c"), "v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -266,25 +269,53 @@ def rare_status(cells: DataFrame) -> DataFrame:
         .where("kinds between 2 and 50 and n_top <= 5 and total >= 0.8 * n and not top")
         .select("coll", "field", "v")
     )
+
+
+def rare_status(cells: DataFrame) -> DataFrame:
+    """(coll, ord, field, value) of rows with a rare value in a column that at
+    least 80% of the rows have and that holds 2 to 50 values, the fewest most
+    frequent of which, at most five, cover 80% of the rows."""
+    ranked = _rare_values(cells)
     return cells.withColumn("v", F.coalesce("s", F.lit("__none__"))).join(ranked, ["coll", "field", "v"]).select("coll", "ord", "field", F.col("v").alias("value"))
 
 
+def _rare_fields(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(coll, field) of columns that under 20% of the rows have."""
+    return cells.where("kind != 'null'").groupBy("coll", "field").agg(F.count("*").alias("c")).join(sizes, "coll").where("c < 0.2 * n").select("coll", "field")
+
+
 def structural_outliers(cells: DataFrame) -> DataFrame:
     """(coll, ord): rows with a column that under 20% of the rows have, or with
     a rare status; only in collections of five rows or more. A null cell here
     is an absent field: drop those cells first if null is a value."""
     sizes = cells.groupBy("coll").agg(F.count_distinct("ord").alias("n")).where("n >= 5")
-    present = cells.where("kind != 'null'")
-    rare = present.groupBy("coll", "field").agg(F.count("*").alias("c")).join(sizes, "coll").where("c < 0.2 * n").select("coll", "field")
-    by_field = present.join(rare, ["coll", "field"]).select("coll", "ord")
+    by_field = cells.where("kind != 'null'").join(_rare_fields(cells, sizes), ["coll", "field"]).select("coll", "ord")
     by_value = rare_status(cells).join(sizes.select("coll"), "coll", "left_semi").select("coll", "ord")
     return by_field.unionByName(by_value).distinct()
 
 
-def crushability(cells: DataFrame, stats: DataFrame) -> DataFrame:
+def _with_outliers(cells: DataFrame) -> DataFrame:
+    """The collections that :func:`structural_outliers` finds rows of: a rare
+    column or value is in some row, so no row has to be looked up."""
+    sizes = cells.groupBy("coll").agg(F.count_distinct("ord").alias("n")).where("n >= 5")
+    by_value = _rare_values(cells).join(sizes.select("coll"), "coll", "left_semi").select("coll")
+    return _rare_fields(cells, sizes).select("coll").unionByName(by_value)
+
+
+def _with_anomalies(cells: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
+    """The collections that :func:`anomalies` finds numbers of: the least or the
+    greatest number of a column is the farthest off."""
+    m, sd = F.col("m"), F.col("sd")
+    stats = cells.where("x is not null").groupBy("coll", "field").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    return stats.where((sd > 0) & (F.greatest(m - F.col("lo"), F.col("hi") - m) > sigmas * sd)).select("coll")
+
+
+def crushability(cells: DataFrame, stats: DataFrame, scores: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """(coll, crushable, confidence, reason): whether dropping rows is safe, by
     uniqueness of the columns and by signals (score column, outliers, error
-    words, anomalies, change points). Six cases, the first that fits."""
+    words, anomalies, change points). Six cases, the first that fits. ``scores``
+    and ``changes`` are what :func:`score_fields` and :func:`change_points` give,
+    if they are there already."""
     ids = id_fields(cells, stats).where("is_id").join(stats.select("coll", "field", "unique_ratio"), ["coll", "field"])
     w = Window.partitionBy("coll").orderBy(F.desc("confidence"), "field")
     best = ids.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("coll", F.col("field").alias("id_field"), F.col("unique_ratio").alias("id_ratio"), F.col("confidence").alias("id_conf"))
@@ -294,11 +325,11 @@ def crushability(cells: DataFrame, stats: DataFrame) -> DataFrame:
     flag = lambda d, name: d.select("coll").distinct().withColumn(name, F.lit(True))
     j = stats.select("coll").distinct().join(best, "coll", "left").join(uniq, "coll", "left")
     for d, name in (
-        (score_fields(cells, stats).where("is_score"), "g1"),
-        (structural_outliers(cells), "g2"),
+        ((score_fields(cells, stats) if scores is None else scores).where("is_score"), "g1"),
+        (_with_outliers(cells), "g2"),
         (error_rows(cells), "g3"),
-        (anomalies(cells), "g4"),
-        (change_points(cells), "g5"),
+        (_with_anomalies(cells), "g4"),
+        (change_points(cells) if changes is None else changes, "g5"),
     ):
         j = j.join(flag(d, name), "coll", "left")
     j = j.fillna(False, ["g1", "g2", "g3", "g4", "g5"]).fillna(0.0, ["us", "un", "id_ratio", "id_conf"])
@@ -319,10 +350,11 @@ def crushability(cells: DataFrame, stats: DataFrame) -> DataFrame:
 def strategies(cells: DataFrame, stats: DataFrame, least: int = 5) -> DataFrame:
     """(coll, pattern, strategy, est_reduction): none below ``least`` rows, skip
     when dropping is not safe, else by pattern."""
-    changes = change_points(cells).select("coll").distinct().withColumn("changes", F.lit(True))
+    scores, found = written(score_fields(cells, stats)), written(change_points(cells).select("coll").distinct())
+    changes = found.withColumn("changes", F.lit(True))
     msg = stats.where("lower(field) like '%message%'").groupBy("coll").agg(F.min_by("unique_ratio", "field").alias("msg"))
     sizes = stats.groupBy("coll").agg(F.max("count").alias("n"), F.avg(F.col("is_constant").cast("double")).alias("const"))
-    j = patterns(cells, stats).join(crushability(cells, stats), "coll").join(sizes, "coll").join(changes, "coll", "left").join(msg, "coll", "left")
+    j = patterns(cells, stats, scores).join(crushability(cells, stats, scores, found), "coll").join(sizes, "coll").join(changes, "coll", "left").join(msg, "coll", "left")
     p = F.col("pattern")
     strategy = (
         F.when(F.col("n") < least, "none")

@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 
 from sievelake.collections import cells, table
 from sievelake.operators import profile as P
+from sievelake.shared import written
 
 FIELDS = ["event_type", "value", "props", "moment", "number", "detail", "rate", "flag"]
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_rows(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Events with derived columns that exercise every rule: a counter, an ISO
-    time, a rare text, a falling score and a constant."""
-    return table(spark, sf_dir, "events").select(
+    time, a rare text, a falling score and a constant. ``dealt``: partitioned by
+    collection, so that no later step shuffles cells, eight to a row."""
+    ev = table(spark, sf_dir, "events")
+    return (ev.repartition("user_id") if dealt else ev).select(
         F.col("user_id").alias("coll"),
         F.col("event_id").alias("ord"),
         "event_type",
@@ -36,6 +39,13 @@ def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(event_rows(spark, sf_dir), "coll", FIELDS)
 
 
+def profiled(spark: SparkSession, sf_dir: str, fields: list[str] = FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(cells, stats) for operators that read both many times: the cells dealt
+    out by collection, the statistics written once."""
+    c = cells(event_rows(spark, sf_dir, dealt=True), "coll", fields)
+    return c, written(P.field_stats(c))
+
+
 def _rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(*[F.round(c, other.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
@@ -86,8 +96,7 @@ def q_entropy(spark, sf):
 
 
 def q_pattern(spark, sf):
-    c = event_cells(spark, sf)
-    return P.patterns(c, P.field_stats(c))
+    return P.patterns(*profiled(spark, sf))
 
 
 def q_temporal(spark, sf):
@@ -132,18 +141,15 @@ def q_exclude_set(spark, sf):
 
 
 def q_crushability(spark, sf):
-    c = event_cells(spark, sf).where("field in ('event_type', 'value', 'detail')")
-    return P.crushability(c, P.field_stats(c))
+    return P.crushability(*profiled(spark, sf, ["event_type", "value", "detail"]))
 
 
 def q_strategy(spark, sf):
-    c = event_cells(spark, sf)
-    return P.strategies(c, P.field_stats(c)).select("coll", "pattern", "strategy")
+    return P.strategies(*profiled(spark, sf)).select("coll", "pattern", "strategy")
 
 
 def q_est_reduction(spark, sf):
-    c = event_cells(spark, sf)
-    return P.strategies(c, P.field_stats(c)).select("coll", F.round("est_reduction", 6).alias("est_reduction"))
+    return P.strategies(*profiled(spark, sf)).select("coll", F.round("est_reduction", 6).alias("est_reduction"))
 
 
 def q_numeric_stats(spark, sf):
