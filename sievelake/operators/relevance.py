@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievelake.functions.text import TOKEN, lines, tokens
+from sievelake.shared import written
 
 K1, B, MOST, LONG = 1.5, 0.75, 10.0, 8
 
@@ -65,7 +66,10 @@ def bm25_corpus(docs: DataFrame, text: str, query: str) -> DataFrame:
     """Adds bm25 and matched, with inverse document frequencies over all rows of
     ``docs``. The statistics are one row, joined to every task."""
     terms = query_terms(query)
-    d = _counted(docs, text, terms)
+    return _scored(_counted(docs, text, terms), terms)
+
+
+def _scored(d: DataFrame, terms: dict[str, int]) -> DataFrame:
     if not terms:
         return d.withColumn("bm25", F.lit(0.0)).withColumn("matched", F.lit(0)).drop("_tf", "_len")
     stats = d.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), F.array(*[F.sum((F.col("_tf")[i] > 0).cast("double")) for i in range(len(terms))]).alias("_df"))
@@ -83,7 +87,10 @@ def hybrid(score: Column, matched: Column) -> Column:
 
 def search_all(docs: DataFrame, key: str, text: str, query: str, most: int = 10) -> DataFrame:
     """The best documents of the corpus: (key, score), ties to the smaller key."""
-    scored = bm25_corpus(docs.select(key, text), text, query).where("bm25 > 0")
+    terms = query_terms(query)
+    # Counts are read for the statistics and for the scores: texts are cut into tokens once.
+    counted = written(_counted(docs.select(key, text), text, terms).drop(text))
+    scored = _scored(counted, terms).where("bm25 > 0")
     return scored.select(key, F.col("bm25").alias("score")).orderBy(F.desc("score"), key).limit(most)
 
 
